@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wordloom.llm import chat_format, exact_dedup
+from wordloom.llm import bpe, chat_format, exact_dedup, license_scan, token_files
 from wordloom.llm.shared import documents
 
 
@@ -45,5 +45,25 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM p GROUP BY conv_id
 """
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op8_chat_format": op8_chat_format}
+def op2_license_scan(spark, sf_dir):
+    return license_scan.scan_licenses(documents(spark, sf_dir)).drop("blocks")
+
+
+def _definition(name: str = "byte_bpe_50k.json") -> str:
+    """A public tokenizer's file, read on the driver: it goes to the tasks as text."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        return f.read()
+
+
+def op3_bpe(spark, sf_dir):
+    return bpe.digests(documents(spark, sf_dir), _definition())
+
+
+def op5_token_files(spark, sf_dir):
+    return token_files.tokenize_to_files(documents(spark, sf_dir), _definition(), end_id=2)
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op3_bpe, op5_token_files, op8_chat_format)}
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op8_chat_format": OP8_SQL}
