@@ -33,6 +33,9 @@ KIND_ORDER = {"assign": 0, "access": 1, "hex": 2, "crf": 3}
 #: Key words whose presence beside a token matters; fixed values.
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key", "key", "pwd", "auth", "bearer", "credential", "private", "access")
 MARKS = ("=", ":", '"', "'", ",", ";", "|")
+_NAMED = frozenset(KEYWORDS + MARKS)
+#: Size class of a token by its bytes, up to 40.
+_SIZE = tuple(sum(n >= least for least in (2, 4, 6, 8, 12, 16, 20, 32, 40)) for n in range(41))
 _TOKEN = re.compile(r"[^\s\"'=:,;|()<>\[\]{}]+|[\"'=:,;|()<>\[\]{}]")
 #: Byte classes of a token: a-f, other lower case, upper case, digit, symbol of secrets, others.
 _CLASS = bytes(
@@ -58,13 +61,12 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def signature(token: str) -> tuple:
     """The token's features as a small tuple: few tuples occur, however many tokens."""
     low = token.lower()
-    word = low if low in KEYWORDS or low in MARKS else ""
+    word = low if low in _NAMED else ""
     shape = token.encode().translate(_CLASS)
     n, runs = len(shape), len(_RUNS.findall(shape))
     digits = shape.count(b"0")
     mask = (b"a" in shape) | (b"b" in shape) << 1 | (b"A" in shape) << 2 | (digits > 0) << 3 | (b"+" in shape) << 4 | (b"u" in shape) << 5
-    size = int(np.searchsorted((2, 4, 6, 8, 12, 16, 20, 32, 40), n, side="right")) if n < 40 else 9
-    return word, size, int(mask), min(3, digits * 5 // n), min(3, runs * 4 // n), token.startswith("AKIA")
+    return word, _SIZE[min(n, 40)], mask, min(3, digits * 5 // n), min(3, runs * 4 // n), token.startswith("AKIA")
 
 
 def feature_names(sig: tuple, offset: int) -> list[tuple]:
