@@ -9,6 +9,7 @@ words of a batch go into a trie, and a depth-first walk carries the last tokens
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 from array import array
@@ -18,13 +19,14 @@ import regex
 from pyspark.sql import DataFrame
 
 from wordloom.llm.batches import by_text
-from wordloom.llm.chunks import Encoded, uncut
+from wordloom.llm.chunks import Encoded, groups, uncut
 
 _WHITE = r"\t-\r \x85\xa0  -     　"
 #: The pre-tokeniser's fixed pattern, its white space written out as Unicode's property.
 _WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
-CACHED = 300_000
-TRIE_WORDS = 20_000
+CACHED = 700_000
+BYTES = [bytes([b]) for b in range(256)]
+TRIE_WORDS = 50_000
 TAIL = 4
 
 
@@ -57,7 +59,9 @@ class Bpe:
         for s, i in self.special.items():
             content[i] = s.encode()
         self.blob = np.frombuffer(b"".join(content), np.uint8)
-        self.length = np.array([len(s) for s in content], np.int64)
+        self.size = [len(s) for s in content]
+        self.longest = max(self.size)
+        self.length = np.array(self.size, np.int64)
         self.begin = np.cumsum(self.length) - self.length
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.lengths: dict[bytes, set[int]] = {}
@@ -84,9 +88,7 @@ class Bpe:
         return self.edges[token]
 
     def fit(self, a: int, b: int) -> bool:
-        """Whether a then b is the encoding of their joint bytes."""
-        if (known := self.fits.get((a, b))) is not None:
-            return known
+        """Whether a then b is the encoding of their joint bytes; kept in fits."""
         rank, ok = self.rank, True
         for x, x_born, x_gone in self._edge(a)[0]:
             for y, y_born, y_gone in self._edge(b)[1]:
@@ -110,8 +112,14 @@ class Bpe:
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of each word as little-endian uint32; words sorted, so that slices share prefixes."""
         out = []
-        for k in range(0, len(words), TRIE_WORDS):
-            out += self._walk([w.encode() for w in words[k : k + TRIE_WORDS]])
+        collecting = gc.isenabled()
+        gc.disable()  # a trie is many objects without cycles
+        try:
+            for k in range(0, len(words), TRIE_WORDS):
+                out += self._walk([w.encode() for w in words[k : k + TRIE_WORDS]])
+        finally:
+            if collecting:
+                gc.enable()
         return out
 
     def _walk(self, words: list[bytes]) -> list[bytes]:
@@ -125,31 +133,31 @@ class Bpe:
                 node = nxt
             node[-1] = n
         out: list[bytes] = [b""] * len(words)
-        ids, fits, tails, fit = self.ids, self.fits, self.tails, self.fit
-        path, last = bytearray(), [-1]  # last[d]: last token of the path's first d bytes
-        stack = [(b, node, 1) for b, node in trie.items() if b >= 0]
+        ids, fits, tails, size = self.ids, self.fits, self.tails, self.size
+        last = [-1]  # last[d]: last token of the path's first d bytes
+        stack = [(BYTES[b], 1, node) for b, node in trie.items() if b >= 0]
         while stack:
-            b, node, depth = stack.pop()
-            del path[depth - 1 :], last[depth:]
-            path.append(b)
-            tail = bytes(path[-TAIL:])
+            text, depth, node = stack.pop()  # text: the path, or its end where it is longer than any token
+            del last[depth:]
+            tail = text[-TAIL:]
             for n in tails.get(tail) or self._tail(tail):
-                if n > depth:
-                    break
-                token = ids.get(bytes(path[-n:]))
+                token = ids.get(text[-n:])
                 if token is not None:
                     before = last[depth - n]
-                    if before < 0 or (fits[before, token] if (before, token) in fits else fit(before, token)):
+                    ok = before < 0 or fits.get((before, token))
+                    if ok or ok is None and self.fit(before, token):
                         last.append(token)
                         break
+            if depth > self.longest:
+                text = text[-self.longest :]
             for c, nxt in node.items():
                 if c >= 0:
-                    stack.append((c, nxt, depth + 1))
+                    stack.append((text + BYTES[c], depth + 1, nxt))
                 else:
                     tokens, d = array("I"), depth
                     while d:
                         tokens.append(last[d])
-                        d -= int(self.length[last[d]])
+                        d -= size[last[d]]
                     tokens.reverse()
                     out[nxt] = tokens.tobytes()
         return out
@@ -207,12 +215,11 @@ def loaded(definition: str) -> Bpe:
 
 SCHEMA = "id long, n_tokens long, ids binary, decoded string"
 DIGESTS = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-GROUP = 200
 
 
 def _rows(ids: list, texts: list[str], codec: Bpe):
-    for k in range(0, len(ids), GROUP):
-        for i, found in zip(ids[k : k + GROUP], codec.encode_batch(texts[k : k + GROUP]), strict=True):
+    for part in groups(texts):
+        for i, found in zip(ids[part], codec.encode_batch(texts[part]), strict=True):
             yield i, found, codec.decode(np.frombuffer(found, "<u4"))
 
 

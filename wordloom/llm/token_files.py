@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordloom.llm.chunks import Encoded, uncut
+from wordloom.llm.chunks import Encoded, groups, uncut
 from wordloom.llm.shared import shared_dir, text_of, written
 
 MAGIC = b"WLTOKEN1"
@@ -209,8 +209,8 @@ def write_tokens(docs: DataFrame, folder: str, definition: str, end_id: int | No
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for k in range(0, len(ids), GROUP):
-                for i, found in zip(ids[k : k + GROUP], encoder.encode_batch(texts[k : k + GROUP]), strict=True):
+            for some in groups(texts):
+                for i, found in zip(ids[some], encoder.encode_batch(texts[some]), strict=True):
                     keys.append(i)
                     data += (found, tail)
                     n += (len(found) + len(tail)) // 4
