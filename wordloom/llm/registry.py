@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wordloom.llm import bpe, chat_format, exact_dedup, license_scan, secret_scan, token_files, toxicity
+from wordloom.llm import bpe, chat_format, exact_dedup, license_scan, near_dedup, secret_scan, token_files, toxicity
 from wordloom.llm.shared import documents
 
 
@@ -70,9 +70,13 @@ def op5_token_files(spark, sf_dir):
     return token_files.tokenize_to_files(documents(spark, sf_dir), _definition(), end_id=2)
 
 
+def op7_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(documents(spark, sf_dir), k=3, num=85, den=100)
+
+
 def op9_secret_scan(spark, sf_dir):
     return secret_scan.digests(secret_scan.scan_secrets(documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op3_bpe, op4_toxicity, op5_token_files, op8_chat_format, op9_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op3_bpe, op4_toxicity, op5_token_files, op7_near_dedup, op8_chat_format, op9_secret_scan)}
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op8_chat_format": OP8_SQL}
