@@ -30,7 +30,7 @@ def groups(texts: list[str], chars: int = 4_000_000) -> Iterator[slice]:
 
 
 class Encoded(dict):
-    """Encodings by chunk, bounded: emptied when ``limit`` entries are passed."""
+    """Encodings by chunk, bounded: past ``limit`` entries only those of the chunks just wanted stay."""
 
     def __init__(self, limit: int):
         super().__init__()
@@ -39,7 +39,8 @@ class Encoded(dict):
     def learn(self, wanted: set[str], encode) -> None:
         if new := wanted.difference(self):
             if len(self) + len(new) > self.limit:
+                kept = {c: self[c] for c in wanted if c in self}
                 self.clear()
-                new = wanted
+                self.update(kept)
             new = sorted(new)
             self.update(zip(new, encode(new), strict=True))

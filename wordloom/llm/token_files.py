@@ -33,7 +33,7 @@ from wordloom.llm.shared import shared_dir, text_of, written
 MAGIC = b"WLTOKEN1"
 BLOCK = 1 << 14
 FILE_IDS = 1 << 24
-CACHED = 400_000
+CACHED = 500_000
 GROUP = 200
 
 
@@ -126,23 +126,25 @@ class Encoder:
 
     def _spaced(self, chunks: list[str]) -> list[bytes]:
         out: dict[str, bytes] = {}
-        fine = [c for c in chunks if c and not c[0].isspace() and not c[-1].isspace()]
-        for k in range(0, len(fine), 5000):
-            part = fine[k : k + 5000]
+        fine = [c for c in chunks if c and c[0] > " " < c[-1]]
+        for k in range(0, len(fine), 20_000):
+            part = fine[k : k + 20_000]
             ids = np.array(self.library.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum([1 + len(c.encode()) for c in part])
+            ends = np.cumsum(np.fromiter(map(len, map(str.encode, part)), np.int64, len(part)) + 1)
             upto = np.cumsum(self.length[ids])
             at = np.searchsorted(upto, ends)
-            good = (at < len(upto)) & (upto[np.minimum(at, len(upto) - 1)] == ends)
-            good &= np.concatenate([[True], good[:-1]])
-            data, begin = ids.tobytes(), 0
-            for c, a, ok in zip(part, at.tolist(), good.tolist(), strict=True):
-                if ok:
-                    out[c] = data[4 * begin : 4 * a + 4]
-                begin = a + 1
-        rest = [c for c in chunks if c not in out]
-        out.update(zip(rest, self._whole([" " + c for c in rest]), strict=True))
-        return [out[c] for c in chunks]
+            good = upto[np.minimum(at, len(upto) - 1)] == ends
+            good[1:] &= good[:-1].copy()
+            data, stop = ids.tobytes(), (4 * at + 4).tolist()
+            cut = [data[a:b] for a, b in zip([0, *stop], stop)]  # noqa: B905
+            out.update(zip(part, cut, strict=True))
+            if not good.all():
+                for j in np.flatnonzero(~good):
+                    del out[part[j]]
+        if len(out) < len(chunks):
+            rest = [c for c in chunks if c not in out]
+            out.update(zip(rest, self._whole([" " + c for c in rest]), strict=True))
+        return list(map(out.__getitem__, chunks))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian uint32."""
@@ -238,7 +240,7 @@ def read_counts(files: DataFrame) -> DataFrame:
 def _read(files: DataFrame, ddl: str, of) -> DataFrame:
     # One row for each file, FILE_IDS ids or a task's share: small enough for one task's running sum.
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    based = files.select("path", before.alias("base")).repartition("path")
+    based = files.select("path", before.alias("base")).repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
