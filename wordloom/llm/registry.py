@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wordloom.llm import bpe, chat_format, exact_dedup, license_scan, near_dedup, secret_scan, token_files, toxicity
+from wordloom.llm import bpe, chat_format, decontaminate, exact_dedup, license_scan, near_dedup, secret_scan, token_files, toxicity
 from wordloom.llm.shared import documents
 
 
@@ -70,6 +70,27 @@ def op5_token_files(spark, sf_dir):
     return token_files.tokenize_to_files(documents(spark, sf_dir), _definition(), end_id=2)
 
 
+def op6_decontaminate(spark, sf_dir):
+    return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+OP6_SQL = r"""
+WITH dw AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws FROM documents),
+bw AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws FROM benchmark),
+ds AS (SELECT doc_id, i, list_aggregate(ws[i:i + 4], 'string_agg', ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM dw)),
+bs AS (SELECT item_id, i, list_aggregate(ws[i:i + 4], 'string_agg', ' ') AS s, len(ws) - 4 AS n FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM bw)),
+al AS (SELECT DISTINCT doc_id, ds.i - bs.i + 1 AS b, n FROM ds JOIN bs USING (s)),
+wc AS (SELECT doc_id, b, n, s, count(*) AS c FROM al JOIN ds USING (doc_id) WHERE ds.i BETWEEN b AND b + n - 1 GROUP BY ALL),
+ws AS (SELECT doc_id, b, n, sum(c) AS p FROM wc GROUP BY ALL),
+bc AS (SELECT item_id, n, s, count(*) AS c FROM bs GROUP BY ALL),
+cm AS (SELECT doc_id, b, n, item_id, sum(least(wc.c, bc.c)) AS c FROM wc JOIN bc USING (n, s) GROUP BY ALL),
+sm AS (SELECT doc_id, item_id, greatest(b, 1) - 1 AS start, p + 4 AS n_words, CAST(c AS DOUBLE) / (p + n - c) AS similarity
+  FROM cm JOIN ws USING (doc_id, b, n) WHERE 100 * c >= 80 * (p + n - c))
+SELECT doc_id, item_id, CAST(start AS BIGINT) AS start, CAST(n_words AS BIGINT) AS n_words, similarity FROM sm
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start, n_words) = 1
+""".replace("\\\\", "\\")
+
+
 def op7_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(documents(spark, sf_dir), k=3, num=85, den=100)
 
@@ -78,5 +99,5 @@ def op9_secret_scan(spark, sf_dir):
     return secret_scan.digests(secret_scan.scan_secrets(documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op3_bpe, op4_toxicity, op5_token_files, op7_near_dedup, op8_chat_format, op9_secret_scan)}
-ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op8_chat_format": OP8_SQL}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op3_bpe, op4_toxicity, op5_token_files, op6_decontaminate, op7_near_dedup, op8_chat_format, op9_secret_scan)}
+ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op6_decontaminate": OP6_SQL, "op8_chat_format": OP8_SQL}
