@@ -88,7 +88,7 @@ sm AS (SELECT doc_id, item_id, greatest(b, 1) - 1 AS start, p + 4 AS n_words, CA
   FROM cm JOIN ws USING (doc_id, b, n) WHERE 100 * c >= 80 * (p + n - c))
 SELECT doc_id, item_id, CAST(start AS BIGINT) AS start, CAST(n_words AS BIGINT) AS n_words, similarity FROM sm
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start, n_words) = 1
-""".replace("\\\\", "\\")
+"""
 
 
 def op7_near_dedup(spark, sf_dir):
