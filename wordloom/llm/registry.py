@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wordloom.llm import bpe, chat_format, decontaminate, exact_dedup, license_scan, near_dedup, secret_scan, token_files, toxicity
+from wordloom.llm import bpe, chat_format, decontaminate, exact_dedup, license_scan, lm_score, near_dedup, secret_scan, token_files, toxicity
 from wordloom.llm.shared import documents
 
 
@@ -99,5 +99,9 @@ def op9_secret_scan(spark, sf_dir):
     return secret_scan.digests(secret_scan.scan_secrets(documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op3_bpe, op4_toxicity, op5_token_files, op6_decontaminate, op7_near_dedup, op8_chat_format, op9_secret_scan)}
+def op10_lm_score(spark, sf_dir):
+    return lm_score.score_texts(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op3_bpe, op4_toxicity, op5_token_files, op6_decontaminate, op7_near_dedup, op8_chat_format, op9_secret_scan, op10_lm_score)}
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op6_decontaminate": OP6_SQL, "op8_chat_format": OP8_SQL}
