@@ -200,3 +200,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     named = reps.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     out = signed.join(named, "digest", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, whole and with their columns: of each component that of the smallest id.
+
+    Rows with a null id stay. Repeated ids stay or go together.
+    """
+    gone = near_duplicates(docs, k, num, den, id_col, text_col).where("not kept").select(F.col(id_col).alias("gone")).distinct()
+    return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")

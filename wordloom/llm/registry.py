@@ -49,7 +49,7 @@ def op2_license_scan(spark, sf_dir):
     return license_scan.scan_licenses(documents(spark, sf_dir)).drop("blocks")
 
 
-def _definition(name: str = "byte_bpe_50k.json") -> str:
+def tokenizer_definition(name: str = "byte_bpe_50k.json") -> str:
     """A public tokenizer's file, read on the driver: it goes to the tasks as text."""
     import public_tokenizers
 
@@ -58,7 +58,7 @@ def _definition(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op3_bpe(spark, sf_dir):
-    return bpe.digests(documents(spark, sf_dir), _definition())
+    return bpe.digests(documents(spark, sf_dir), tokenizer_definition())
 
 
 def op4_toxicity(spark, sf_dir):
@@ -67,7 +67,7 @@ def op4_toxicity(spark, sf_dir):
 
 
 def op5_token_files(spark, sf_dir):
-    return token_files.tokenize_to_files(documents(spark, sf_dir), _definition(), end_id=2)
+    return token_files.tokenize_to_files(documents(spark, sf_dir), tokenizer_definition(), end_id=2)
 
 
 def op6_decontaminate(spark, sf_dir):

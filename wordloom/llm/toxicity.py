@@ -10,14 +10,17 @@ text toxic is unknown, so of a toxic text only the windows that score highest ar
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm.batches import by_text, chosen
 from wordloom.llm.license_scan import words_of
+from wordloom.llm.shared import text_of
 
 WINDOW, STRIDE = 64, 48
 SAMPLE, MAX_CHARS = {1: 1000, 0: 3000}, 8000
@@ -322,6 +325,25 @@ def score_texts(docs: DataFrame, net: Network | None, id_col: str = "doc_id", te
     return by_text(docs, id_col, text_col, work, "id long, held_out boolean, score double, predicted int", binary=True).withColumnRenamed("id", id_col)
 
 
+def drop_toxic(docs: DataFrame, net: Network | None, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text scores below THRESHOLD, whole and with their columns.
+
+    The score is computed beside the row, so null or repeated ids and columns of any name are as they were.
+    """
+    if net is None:
+        return docs
+    sent = _Sent(docs.sparkSession, net)
+
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            data = [x.encode() for x in texts]
+            found = [_scorer(sent).scores(data[k : k + 100]) for k in range(0, len(data), 100)]
+            yield pd.Series(np.concatenate(found) if found else np.zeros(0))
+
+    score.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return docs.where(F.pandas_udf(score, "double")(text_of(text_col)) < THRESHOLD)
+
+
 def in_training(id_col: str = "doc_id"):
     """Rows whose labels may be learnt from: crc32 of the id as text, mod 3, is not 1."""
     return F.crc32(F.col(id_col).cast("string")) % 3 != 1
