@@ -3,7 +3,8 @@
 1. Words are runs of letters and digits in lower case; shingles are SHINGLE consecutive words, hashed.
 2. A window of an item's size can only resemble the item if it shares a shingle with it, and moving it
    so that a shared shingle stands where it stands in the item loses nothing: these aligned windows
-   are the ones looked at. A window is cut off at the ends of its document.
+   are the ones looked at, moved inside the document where they would reach beyond its ends. A
+   document smaller than the item is one window.
 3. Windows and items get 64-bit SimHash fingerprints, weighted by how often a shingle occurs. A
    fingerprint is cut into RADIUS + 1 blocks, so any two within RADIUS bits agree in a block: windows
    meet the items of their size that agree in a block, and Hamming distances decide.
@@ -94,7 +95,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="t
     index = known.select("item", "own", "n", "fp", F.posexplode(blocks("fp")).alias("block", "bits"))
     near = keyed.join(_sent(index, size, SENT_SHINGLES), ["n", "block", "bits"]).where(F.bit_count(F.col("wfp").bitwiseXOR(F.col("fp"))) <= RADIUS)
     pairs = near.dropDuplicates(["id", "item", "begin", "n", "wfp"])
-    both = pairs.select("id", "item", F.greatest("begin", F.lit(0)).alias("start"), F.size("part").alias("p"), F.size("own").alias("o"), common("part", "own").alias("c"))
+    both = pairs.select("id", "item", F.col("begin").alias("start"), F.size("part").alias("p"), F.size("own").alias("o"), common("part", "own").alias("c"))
     similar = both.where(100 * F.col("c") >= THRESHOLD * (F.col("p") + F.col("o") - F.col("c"))).select(
         "id", "item", "start", (F.col("p") + SHINGLE - 1).alias("words"), (F.col("c") / (F.col("p") + F.col("o") - F.col("c"))).alias("similarity")
     )
@@ -103,14 +104,13 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="t
 
 
 def _windows(shingles: Column, starts: Column) -> Column:
-    """array<struct<begin, n, part>>: part is the shingles from begin on, n of them, as far as they exist."""
-    cut = lambda h: F.transform(starts, lambda w: F.struct(w["begin"].alias("begin"), w["n"].alias("n"), _slice(h, w).alias("part")))
-    return F.get(F.transform(F.array(shingles), cut), F.lit(0))
+    """array<struct<begin, n, part>>: part is n shingles from begin on, moved inside the text; all of a shorter text."""
 
+    def one(h: Column, w: Column) -> Column:
+        begin = F.greatest(F.least(w["begin"], F.size(h) - w["n"]), F.lit(0))
+        return F.struct(begin.alias("begin"), w["n"].alias("n"), F.slice(h, begin + 1, w["n"]).alias("part"))
 
-def _slice(h: Column, w: Column) -> Column:
-    first = F.greatest(w["begin"], F.lit(0))
-    return F.slice(h, first + 1, F.greatest(w["begin"] + w["n"] - first, F.lit(0)))
+    return F.get(F.transform(F.array(shingles), lambda h: F.transform(starts, lambda w: one(h, w))), F.lit(0))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text") -> DataFrame:
