@@ -25,7 +25,7 @@ from wordloom.llm.shared import text_of
 WINDOW, STRIDE = 64, 48
 SAMPLE, MAX_CHARS = {1: 1000, 0: 3000}, 8000
 WORD_BUCKETS, CHAR_BUCKETS, WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 1 << 13, 1 << 14, 8, 12, 8, 8
-EPOCHS, BATCH, RATE = 6, 256, 0.01
+STEPS, BATCH, RATE = 60, 256, 0.01  # a small sample is gone through more often
 CACHED_WORDS = 200_000
 CHUNK = 2048
 THRESHOLD = 0.7
@@ -178,7 +178,7 @@ class Adam:
         value[at] -= self.rate * (m[at] / (1 - 0.9 ** n[0])) / (np.sqrt(v[at] / (1 - 0.999 ** n[0])) + 1e-6)
 
 
-def fit(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int = 5) -> Network:
+def fit(texts: list[bytes], labels: list[int], steps: int = STEPS, seed: int = 5) -> Network:
     net, adam, rng = Network.fresh(seed), Adam(RATE), np.random.default_rng(seed)
     docs = [words_of(x) for x in texts]
     vocabulary = sorted({w for d in docs for w in d})
@@ -191,7 +191,7 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int =
             windows.append(found)
             owner += [k] * len(found)
     at, owner, y = np.concatenate(windows), np.array(owner), np.array(labels)
-    for epoch in range(epochs):
+    for epoch in range(max(6, min(100, steps * BATCH * 2 // (3 * len(docs)) + 1))):
         gates = net.gates(all_words)
         logits = np.concatenate([net.forward(gates, at[k : k + CHUNK]) for k in range(0, len(at), CHUNK)])
         # Of each text its worst window (at first two), and other windows of clean texts by chance.
