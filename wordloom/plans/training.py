@@ -7,7 +7,8 @@ divided by the roots of the accumulated squares before the record.
 Parameters are rows (side w or c, id, v, b, g, gb). Three modes: exact takes records one by one in
 the shuffled order, on one task; stratified deals words and contexts to P parts and trains the P
 pairs of parts that share nothing at the same time, so each epoch equals some serial order;
-fullbatch sums all gradients and makes one step, in plain DataFrame operations.
+fullbatch sums all gradients and makes one step, in plain DataFrame operations; as eta doesn't scale bias
+steps, its first steps overshoot, so it serves to check the formula rather than to fit vectors.
 """
 
 from __future__ import annotations

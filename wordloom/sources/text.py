@@ -19,7 +19,7 @@ def _fields(line: Column) -> Column:
 
 def read_vocab(spark: SparkSession, path: str) -> DataFrame:
     """id (line number, from 1), word, n of a file of `word count` lines. One file is read whole, in order."""
-    lines = spark.read.option("wholetext", True).text(path)
+    lines = spark.read.text(path, wholetext=True)
     rows = lines.select(F.posexplode(F.split(F.col("value"), "\n")).alias("at", "line")).where("line <> ''")
     f = _fields(F.col("line"))
     return rows.select((F.col("at") + 1).cast("int").alias("id"), f[0].alias("word"), f[1].cast("long").alias("n"))
