@@ -129,7 +129,7 @@ def test_decontaminate_edges(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
-@pytest.mark.parametrize("name", ["op1_exact_dedup", "op6_decontaminate", "op8_chat_format"])
+@pytest.mark.parametrize("name", ["op1_exact_dedup", "op6_decontaminate", "op7_near_dedup", "op8_chat_format"])
 def test_oracles(spark, name):
     import duckdb
 
