@@ -37,3 +37,18 @@ def chosen(key: object, parts: int) -> int:
     import zlib
 
     return zlib.crc32(b"" if key is None else str(key).encode()) % parts
+
+
+_HOLDER: list = [None, None]
+
+
+def take_over(name: str, clear: Callable[[], None]) -> None:
+    """Called by an operator before it uses caches that its worker process keeps between tasks.
+
+    Workers are used again for other operators: the caches of the one before are dropped, so that a
+    worker's memory is bounded by the largest operator's, not by the sum of all.
+    """
+    if _HOLDER[0] != name:
+        if _HOLDER[1] is not None:
+            _HOLDER[1]()
+        _HOLDER[:] = [name, clear]

@@ -18,13 +18,13 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from wordloom.llm.batches import by_text
+from wordloom.llm.batches import by_text, take_over
 from wordloom.llm.chunks import Encoded, groups, uncut
 
 _WHITE = r"\t-\r \x85\xa0  -     　"
 #: The pre-tokeniser's fixed pattern, its white space written out as Unicode's property.
 _WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
-CACHED = 700_000
+CACHED = 450_000
 BYTES = [bytes([b]) for b in range(256)]
 TRIE_WORDS = 50_000
 TAIL = 4
@@ -96,14 +96,14 @@ class Bpe:
                 # Of equal ranks the left pair is merged first.
                 if r is not None and x_born < r < x_gone and y_born < r <= y_gone:
                     ok = False
-        if len(self.fits) >= 1_000_000:
+        if len(self.fits) >= 400_000:
             self.fits.clear()
         self.fits[a, b] = ok
         return ok
 
     def _tail(self, tail: bytes) -> tuple[int, ...]:
         """Lengths that tokens at the end of a text with this tail may have, shortest first."""
-        if len(self.tails) >= 500_000:
+        if len(self.tails) >= 250_000:
             self.tails.clear()
         short = [n for n in range(1, min(TAIL, len(tail) + 1)) if tail[-n:] in self.ids]
         found = self.tails[tail] = (*short, *sorted(self.lengths.get(tail, ())))
@@ -207,6 +207,7 @@ _LOADED: dict[str, Bpe] = {}
 
 def loaded(definition: str) -> Bpe:
     """One codec for each worker process, with its caches."""
+    take_over("bpe", _LOADED.clear)
     key = hashlib.sha256(definition.encode()).hexdigest()
     if key not in _LOADED:
         _LOADED[key] = Bpe(definition)

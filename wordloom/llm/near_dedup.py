@@ -24,14 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.batches import by_text
+from wordloom.llm.batches import by_text, take_over
 from wordloom.llm.components import components
 from wordloom.llm.shared import text_of, written
 
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 BLOCK = 500  # pairs of one class that are verified together
-CACHED = 400_000
+CACHED = 300_000
 PIECE = 1 << 15
 SENT_PAIRS = 500_000  # so many pairs' ids, 16 MB at most, may be broadcast
 
@@ -53,6 +53,10 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
+def _begin() -> None:
+    take_over("near_dedup", _HASHES.clear)
+
+
 def shingle_set(text: bytes, k: int) -> np.ndarray:
     """Sorted distinct hashes of k-word shingles; of fewer words the whole sequence is one."""
     words = text.lower().split()
@@ -91,6 +95,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """id, n, digest, signature; digest and signature are null for an empty set."""
 
     def work(ids, texts):
+        _begin()
         for g in range(0, len(ids), 200):
             sets = [shingle_set(x, k) for x in texts[g : g + 200]]
             full = [s for s in sets if len(s)]
@@ -144,6 +149,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     grouped = with_text.repartition("a", "block").sortWithinPartitions("a", "block", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin()
         key, heads_ = None, []
         for batch in batches:
             a, b = [], []

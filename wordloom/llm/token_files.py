@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wordloom.llm.batches import take_over
 from wordloom.llm.chunks import Encoded, groups, uncut
 from wordloom.llm.shared import shared_dir, text_of, written
 
@@ -171,6 +172,7 @@ _LOADED: dict[int, Encoder] = {}
 def _loaded(definition: str) -> Encoder:
     import os
 
+    take_over("token_files", _LOADED.clear)
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     if (key := hash(definition)) not in _LOADED:
         _LOADED[key] = Encoder(definition)

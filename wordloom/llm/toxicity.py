@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.batches import by_text, chosen
+from wordloom.llm.batches import by_text, chosen, take_over
 from wordloom.llm.license_scan import words_of
 from wordloom.llm.shared import text_of
 
@@ -26,7 +26,7 @@ WINDOW, STRIDE = 64, 48
 SAMPLE, MAX_CHARS = {1: 1000, 0: 3000}, 8000
 WORD_BUCKETS, CHAR_BUCKETS, WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 1 << 13, 1 << 14, 8, 12, 8, 8
 STEPS, BATCH, RATE = 60, 256, 0.01  # a small sample is gone through more often
-CACHED_WORDS = 200_000
+CACHED_WORDS = 150_000
 CHUNK = 2048
 THRESHOLD = 0.7
 NO_WORD = b" "  # row 0; no word of a text is a space
@@ -287,8 +287,13 @@ def train(docs: DataFrame, labels: DataFrame, fold, **columns) -> Network | None
 _HELD: list = [None, None]
 
 
+def _drop_scorer() -> None:
+    _HELD[:] = [None, None]
+
+
 def _scorer(sent) -> Scorer:
     """One scorer for each worker process and model, with its table of words."""
+    take_over("toxicity", _drop_scorer)
     if _HELD[0] != sent.id:
         _HELD[:] = [sent.id, Scorer(sent.value)]
     return _HELD[1]
