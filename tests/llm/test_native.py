@@ -143,3 +143,16 @@ def test_oracles(spark, name):
     result = con.execute(ORACLE_SQL[name])
     names = [d[0] for d in result.description]
     assert sorted(map(repr, (tuple(r[c] for c in columns) for r in found.collect()))) == sorted(map(repr, (tuple(r[names.index(c)] for c in columns) for r in result.fetchall())))
+
+
+def test_decontaminate_parts_that_changed_places(spark):
+    a, b = ([f"{c}{k}x" for k in range(30)] for c in "ab")
+    fill = lambda c: [f"{c}{k}y" for k in range(40)]
+    items = [(1, " ".join(a + b))]
+    docs = [(1, " ".join([*fill("p"), *b, *a, *fill("q")])), (2, " ".join([*b, *a])), (3, " ".join([*fill("p"), *b, *a])), (4, " ".join([*b, *fill("p"), *a])), (5, " ".join([*fill("p"), *a, *b]))]
+    got = {(r.doc_id, r.item_id): (r.start, r.similarity) for r in decontaminate.contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute(docs, items)
+    assert want.keys() == {(1, 1), (2, 1), (3, 1), (5, 1)}
+    assert {k: s for k, (_, s) in got.items()} == pytest.approx(want)
+    assert got[1, 1][0] == 40 and got[5, 1] == (40, 1.0)
+    assert [r.doc_id for r in decontaminate.drop_contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()] == [4]
