@@ -177,3 +177,15 @@ def test_pipeline(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs_left = stage(spark, docs_left, str(tmp_path))
         assert docs_left.columns == docs.columns
+
+
+def test_near_dedup_drops_by_row(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    base, alone, other = (" ".join(word() for _ in range(60)) for _ in range(3))
+    near = lambda t: t + " more"
+    rows = [(3, base), (7, near(base)), (7, alone), (None, base + " most"), (None, other), (None, near(other)), (None, "")]
+    kept = near_dedup.drop_near_duplicates(frame(spark, rows), 5, 80, 100).collect()
+    texts = Counter((r.doc_id, r.text) for r in kept)
+    assert texts[3, base] == texts[7, alone] == texts[None, ""] == 1
+    assert len(kept) == 4 and texts[None, other] + texts[None, near(other)] == 1

@@ -211,7 +211,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 def drop_near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, whole and with their columns: of each component that of the smallest id.
 
-    Rows with a null id stay. Repeated ids stay or go together.
+    Rows are told apart by id and text together: of rows with one id, those with other texts are judged
+    by themselves. Null ids come after all others, and are deduplicated too; of equal ids the smallest
+    key stays. Rows equal in id and text stay or go together. Texts without words stay.
     """
-    gone = near_duplicates(docs, k, num, den, id_col, text_col).where("not kept").select(F.col(id_col).alias("gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
+    key = F.xxhash64(F.col(id_col), text_of(text_col))
+    found = near_duplicates(docs.select(key.alias("row_key"), F.col(text_col).alias("text")), k, num, den, "row_key", "text").where("n_shingles > 0")
+    who = docs.select(key.alias("row_key"), F.col(id_col).alias("id")).distinct()
+    rows = written(found.select("row_key", F.col("component_id").alias("component")).distinct().join(who, "row_key"), "rows")
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_key")).alias("f"))
+    gone = rows.join(first.select(F.col("f.row_key").alias("row_key")), "row_key", "left_anti").select("row_key")
+    return docs.join(gone, key == gone["row_key"], "left_anti")
