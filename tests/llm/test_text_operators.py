@@ -44,6 +44,17 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(frame(spark, [])).count() == 0
 
 
+def test_dual_licenses_keep_both_labels(spark):
+    texts = [
+        "Permission is granted, free of charge, to any person obtaining a copy of the software. Licensed under the Apache License Version 2.0",
+        "This work is licensed under the GNU General Public License version 3",
+        "This program is licensed under the GNU General Public License version 2, or this work is licensed under the GNU General Public License version 3",
+        "Licensed under the GNU Lesser General Public License version 3",
+    ]
+    got = {r.doc_id: r.labels for r in license_scan.scan_licenses(frame(spark, list(enumerate(texts)))).collect()}
+    assert got == {0: "apache-2,mit", 1: "gpl-3", 2: "gpl-2,gpl-3", 3: "lgpl-3"}
+
+
 @pytest.fixture(scope="module")
 def library():
     from tokenizers import Tokenizer

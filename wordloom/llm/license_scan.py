@@ -12,10 +12,10 @@ the whole corpus, rarest first. Filters, none of which loses a match:
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from math import ceil
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +38,8 @@ TEMPLATES = (
     ("cc-by-sa", "licensed under the creative commons attribution sharealike license"),
     ("cc0", "this work is dedicated to the public domain under cc0"),
 )
+# Labels whose templates differ in so few words that one's notice matches the others'.
+FAMILIES = (frozenset({"gpl-2", "gpl-3", "lgpl-3"}),)
 THRESHOLD = 0.8
 
 #: Bytes that aren't part of a word become spaces, A-Z become a-z; bytes of non-ASCII characters stay.
@@ -114,14 +116,28 @@ class Scanner:
         return sorted(found)
 
 
-    def named(self, blocks: list[tuple[int, int, int, float]], n_words: int) -> set[str]:
-        """Labels of the blocks that no overlapping block of greater containment outdoes."""
-        if not blocks:
-            return set()
-        best = np.zeros(n_words)
-        for _, a, b, c in blocks:
-            np.maximum(best[a:b], c, out=best[a:b])
-        return {self.templates[t][0] for t, a, b, c in blocks if best[a:b].max() <= c}
+    def named(self, blocks: list[tuple[int, int, int, float]], words: list[bytes]) -> set[str]:
+        """Labels of all blocks, but for those that another of the family outdoes on the same words."""
+        labels = {self.templates[t][0] for t, *_ in blocks}
+        for family in FAMILIES:
+            if len(labels & family) > 1:
+                own = sorted((x for x in blocks if self.templates[x[0]][0] in family), key=lambda x: x[1])
+                starts, reach = [a for _, a, _, _ in own], max(b - a for _, a, b, _ in own)
+                labels -= family
+                for x in own:
+                    if (label := self.templates[x[0]][0]) not in labels:
+                        near = own[bisect_left(starts, x[1] - reach) : bisect_left(starts, x[2])]
+                        if not any(self._outdone(x, y, words) for y in near):
+                            labels.add(label)
+        return labels
+
+    def _outdone(self, x: tuple[int, int, int, float], y: tuple[int, int, int, float], words: list[bytes]) -> bool:
+        """Whether y has greater containment and all that x has in common with its template is y's too, where they overlap."""
+        (t, a, b, c), (u, v, w, d) = x, y
+        if c >= d or max(a, v) >= min(b, w):
+            return False
+        own = set(self.templates[t][2]).intersection(words[a:b])
+        return own <= set(self.templates[u][2]).intersection(words[max(a, v) : min(b, w)])
 
 
 SCHEMA = (
@@ -133,7 +149,8 @@ SCHEMA = (
 def scan_licenses(docs: DataFrame, id_col="doc_id", text_col="text", templates=TEMPLATES, phrases=PHRASES, threshold=THRESHOLD) -> DataFrame:
     """A row for each row of docs: counts and places of the phrases, labels, and all matching blocks.
 
-    Every matching block is in blocks; labels names, of overlapping blocks, those of greatest containment.
+    Every matching block is in blocks, and its label in labels, unless an overlapping block of its family
+    (FAMILIES) has greater containment on the same words.
 
     score: 1 if a phrase stands in the text, else the best containment of a matching block, else 0.
     Two passes: corpus-wide counts of the templates' words (a bounded vocabulary), then the join.
@@ -149,7 +166,7 @@ def scan_licenses(docs: DataFrame, id_col="doc_id", text_col="text", templates=T
             have = set(words)
             starts, base = scanner.base(words, have)
             blocks = scanner.blocks(words, have)
-            labels = base | scanner.named(blocks, len(words))
+            labels = base | scanner.named(blocks, words)
             yield (
                 i, len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)),
                 1.0 if base else max((c for *_, c in blocks), default=0.0),
