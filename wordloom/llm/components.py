@@ -7,24 +7,32 @@ from pyspark.sql import functions as F
 
 from wordloom.llm.shared import written
 
+SALTS = 256
+
 
 def _both(links: DataFrame) -> DataFrame:
     return links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
+def _with_least(near: DataFrame) -> DataFrame:
+    """a, b, m: m the smallest b of each a. It goes back by (a, salt), so a hub's links are neither one group nor one join key."""
+    salted = near.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt"))
+    part = salted.groupBy("a", "salt").agg(F.min("b").alias("m"))
+    least = part.groupBy("a").agg(F.min("m").alias("m"))
+    return salted.join(part.select("a", "salt").join(least, "a"), ["a", "salt"]).select("a", "b", "m")
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     """Each node links its larger neighbours to the smallest of itself and all its neighbours."""
-    near = _both(links)
-    least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return near.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    near = _with_least(_both(links)).where(F.col("b") > F.col("a"))
+    return near.select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Each node links its smaller neighbours, and itself, to the smallest of them."""
-    down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+    down = _with_least(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"))
+    moved = down.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b")))
+    return moved.where("a <> b").distinct()
 
 
 def _mark(links: DataFrame) -> tuple:
@@ -36,8 +44,8 @@ def components(links: DataFrame) -> DataFrame:
     """node, component: the smallest node that each node of the links (a, b) can reach.
 
     Each round's links are a written table; the driver sees two numbers of it. Rounds grow with the
-    logarithm of the number of nodes. Partial sums keep hubs from gathering in one task, and a hub's
-    links are a skewed join key that the adaptive plan splits. No links: no rows.
+    logarithm of the number of nodes. A hub's links are dealt by salts, so no task gathers them. No
+    links: no rows.
     """
     now = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     seen = _mark(now)
