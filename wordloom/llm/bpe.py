@@ -19,14 +19,14 @@ import regex
 from pyspark.sql import DataFrame
 
 from wordloom.llm.batches import by_text, take_over
-from wordloom.llm.chunks import Encoded, groups, uncut
+from wordloom.llm.chunks import Encoded, uncut
 
 _WHITE = r"\t-\r \x85\xa0  -     　"
 #: The pre-tokeniser's fixed pattern, its white space written out as Unicode's property.
 _WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
-CACHED = 450_000
+CACHED = 200_000
 BYTES = [bytes([b]) for b in range(256)]
-TRIE_WORDS = 50_000
+TRIE_WORDS = 20_000
 TAIL = 4
 
 
@@ -96,7 +96,7 @@ class Bpe:
                 # Of equal ranks the left pair is merged first.
                 if r is not None and x_born < r < x_gone and y_born < r <= y_gone:
                     ok = False
-        if len(self.fits) >= 400_000:
+        if len(self.fits) >= 250_000:
             self.fits.clear()
         self.fits[a, b] = ok
         return ok
@@ -219,9 +219,8 @@ DIGESTS = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def _rows(ids: list, texts: list[str], codec: Bpe):
-    for part in groups(texts):
-        for i, found in zip(ids[part], codec.encode_batch(texts[part]), strict=True):
-            yield i, found, codec.decode(np.frombuffer(found, "<u4"))
+    for i, found in zip(ids, codec.encode_batch(texts), strict=True):
+        yield i, found, codec.decode(np.frombuffer(found, "<u4"))
 
 
 def encode_decode(docs: DataFrame, definition: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
