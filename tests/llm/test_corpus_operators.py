@@ -189,3 +189,37 @@ def test_near_dedup_drops_by_row(spark):
     texts = Counter((r.doc_id, r.text) for r in kept)
     assert texts[3, base] == texts[7, alone] == texts[None, ""] == 1
     assert len(kept) == 4 and texts[None, other] + texts[None, near(other)] == 1
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_joining_links_of_a_chunk(seed):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 1 << 60, 60).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, 55, replace=False), rng.integers(0, 1 << 60, rng.integers(0, 9)).astype(np.uint64)])) for _ in range(40)]
+    sets += [rng.integers(0, 1 << 60, 5000).astype(np.uint64)]
+    sets += [sets[-1][:4600]]
+    both = near_dedup.common_counts([np.unique(x) for x in sets])
+    sets = [np.unique(x) for x in sets]
+    assert all(both[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(len(sets)) for j in range(len(sets)))
+    comps = rng.integers(0, 30, len(sets))
+    links = near_dedup.joining_links(sets, comps, 80, 100)
+    assert all(near_dedup._linked(sets[i], sets[j], 80, 100) and comps[i] != comps[j] for i, j in links) and len(links) < len(sets)
+    same = [(i, j) for i in range(len(sets)) for j in range(i) if comps[i] == comps[j]]
+    whole = [(i, j) for i in range(len(sets)) for j in range(i) if near_dedup._linked(sets[i], sets[j], 80, 100)]
+    assert brute_components(same + links + [(i, i) for i in range(len(sets))]) == brute_components(same + whole + [(i, i) for i in range(len(sets))])
+
+
+def test_large_buckets_are_dealt_without_loss(spark, monkeypatch):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    base = [word() for _ in range(60)]
+    rows = []
+    for k in range(150):  # copies with up to three changed words: many pairs just under the threshold, in the same buckets
+        w = list(base)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(60)] = word()
+        rows.append((k, " ".join(w)))
+    monkeypatch.setattr(near_dedup, "CHUNK_CLASSES", 20)
+    monkeypatch.setattr(near_dedup, "BLOCK", 20)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(frame(spark, rows), 3, 85, 100).collect()}
+    assert got == expected_near(rows, 3, 85, 100)

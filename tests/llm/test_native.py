@@ -156,3 +156,18 @@ def test_decontaminate_parts_that_changed_places(spark):
     assert {k: s for k, (_, s) in got.items()} == pytest.approx(want)
     assert got[1, 1][0] == 40 and got[5, 1] == (40, 1.0)
     assert [r.doc_id for r in decontaminate.drop_contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()] == [4]
+
+
+def test_decontaminate_meets_few_pairs():
+    """A pair of fingerprints within the radius always agrees in a block; each meets once, in the first."""
+    import random
+
+    rng, width = random.Random(2), 64 // (decontaminate.RADIUS + 1)
+    for _ in range(2000):
+        x = rng.getrandbits(64)
+        y = x
+        for b in rng.sample(range(64), decontaminate.RADIUS):
+            y ^= 1 << b
+        last = decontaminate.RADIUS * width
+        parts = lambda v: [v >> b * width & (1 << width) - 1 for b in range(decontaminate.RADIUS)] + [v >> last]  # noqa: B023, E731
+        assert any(p == q for p, q in zip(parts(x), parts(y), strict=True))

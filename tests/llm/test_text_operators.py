@@ -189,3 +189,189 @@ def test_all_windows_cover_a_text():
     for n in (0, 1, 48, 64, 65, 112, 113, 1000):
         at = toxicity.windows_of(np.arange(1, n + 1, dtype=np.int32))
         assert set(at.ravel()) - {0} == set(range(1, n + 1))
+
+
+def test_license_filters_lose_nothing_and_remove_something():
+    rng = random.Random(6)
+    vocabulary = sorted({w for _, t in license_scan.TEMPLATES for w in t.split()})
+    counts = {w.encode(): rng.randint(1, 1000) for w in vocabulary}
+    scanner = license_scan.Scanner(counts)
+    for k in range(400):
+        if k % 2:
+            words = [w for w in rng.choice(license_scan.TEMPLATES)[1].split() if rng.random() < 0.9]
+        else:
+            words = [rng.choice(vocabulary) if rng.random() < 0.8 else "other" for _ in range(rng.randint(0, 60))]
+        words = [w.encode() for w in ["x"] * rng.randint(0, 30) + words]
+        expected = []
+        for t, (_, template) in enumerate(license_scan.TEMPLATES):
+            own, n = {w.encode() for w in template.split()}, len(template.split())
+            for a in range(0, len(words), n):
+                if len(both := own & set(words[a : a + 2 * n])) >= 0.8 * len(own) - 1e-9:
+                    expected.append((t, a, min(len(words), a + 2 * n), len(both) / len(own)))
+        assert scanner.blocks(words, set(words)) == expected
+        assert all(license_scan._common(x := scanner.templates[t][2], y := sorted({scanner.order[w] for w in words[a:b] if w in scanner.order}), 0, 0, 1) == len(set(x) & set(y)) for t, a, b, _ in expected)
+    seen = scanner.seen
+    assert seen["blocks"] > 1.5 * seen["length"]
+    tried = sum(seen["length"] for _ in license_scan.TEMPLATES) / len(scanner.index)  # templates of a block's length, were there no prefix
+    assert tried > 1.2 * seen["prefix"] > 0
+    full, cut = ([k for k in range(1000) if k % 3], [k for k in range(1000) if k % 5])
+    assert license_scan._common(full, cut, 0, 0, 500) == len(set(full) & set(cut)) and license_scan._common(full, cut, 0, 0, 640) == 0
+
+
+def test_bpe_digests_are_the_library_s(spark, library):
+    rows = [(i, t) for i, t in ODD if i is not None] + [(k, x) for k, x in enumerate(odd_texts()[:100], 100)]
+    got = {r.doc_id: r for r in bpe.digests(frame(spark, rows), tokenizer_definition()).collect()}
+    for i, t in rows:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        want = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+        assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == want
+
+
+def slow_base(text):
+    """The fixed patterns by hand: every start in turn, longest match, then on from its end."""
+    word, hexa = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"), set("0123456789abcdef")
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+    def run(k, allowed):
+        end = k
+        while end < len(text) and text[end] in allowed:
+            end += 1
+        return end
+
+    def assign(k):
+        for key in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if text[k : k + len(key)].translate(fold) == key:
+                ways = [k + len(key)]
+                for more in ("\"'", " *", ":=", " *", "\"'"):
+                    if more == " *":
+                        ways = [p + j for p in ways for j in range(run(p, {" "}) - p, -1, -1)]
+                    elif more == ":=":
+                        ways = [p + 1 for p in ways if text[p : p + 1] and text[p] in more]
+                    else:
+                        ways = [q for p in ways for q in ((p + 1, p) if text[p : p + 1] and text[p] in more else (p,))]
+                for p in ways:
+                    if (end := run(p, word)) > p:
+                        return end, end - p
+        return None
+
+    def access(k):
+        end = run(k + 4, set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")) if text.startswith("AKIA", k) else k
+        return (end, end - k) if end > k + 4 else None
+
+    def hexes(k):
+        end = run(k, hexa)
+        return (end, end - k) if end > k else None
+
+    found = []
+    for kind, at, least in (("assign", assign, 8), ("access", access, 16), ("hex", hexes, 32)):
+        k = 0
+        while k < len(text):
+            if (m := at(k)) is None:
+                k += 1
+            else:
+                if m[1] >= least:
+                    found.append((k, m[0], kind))
+                k = m[0]
+    return sorted(found, key=lambda s: (s[0], secret_scan.KIND_ORDER[s[2]]))
+
+
+def test_base_spans_against_brute_force():
+    rng = random.Random(12)
+    parts = ["password", "PassWD", "secret", "token", "api_key", "APIKEY", "=", ":", " ", "  ", '"', "'", "AKIA", "abcdef0123", "ABCD1234", "deadbeef" * 2, "é", "\n", "x", "-_/+="]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        assert secret_scan.base_spans(text) == slow_base(text), text
+
+
+def test_field_adds_secrets_that_the_patterns_miss():
+    rng = random.Random(77)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(1, 10)))
+    value = lambda: "".join(rng.choice(letters + letters.upper() + "0123456789" * 3) for _ in range(rng.randint(20, 40)))
+    field = secret_scan.fit(secret_scan.generated())
+    leads = ["credential: ", 'pwd = "', "Authorization: Bearer ", "auth=", "private: "]
+    hit = false = total = 0
+    for k in range(300):
+        before, after = (" ".join(word() for _ in range(rng.randint(2, 8))) for _ in range(2))
+        secret = value() if k % 2 else ""
+        text = f"{before} {leads[k // 2 % 5] if secret else ''}{secret} {after} 2024-05-{k % 28 + 1:02d}, {word().capitalize()} {k}."
+        a = text.index(secret) if secret else 0
+        found = secret_scan.spans_of(field, text)
+        assert not secret_scan.base_spans(text)
+        total += bool(secret)
+        right = [s for s in found if secret and s[0] <= a + len(secret) - 1 and s[1] > a]
+        hit += bool(right)
+        false += len(found) - len(right)
+    assert hit / total > 0.9 and hit / (hit + false) > 0.9
+
+
+def test_gradients_are_the_loss_s_differences():
+    net = toxicity.Network.fresh(3)
+    for name in vars(net):
+        setattr(net, name, getattr(net, name).astype(np.float64))
+    net.word *= 20
+    net.char *= 20
+    words = [b" ", b"alpha", b"beta", b"gamma", b"delta"]
+    at = np.zeros((3, toxicity.WINDOW), np.int64)
+    at[0, :40], at[1, :3], at[2] = np.arange(40) % 4 + 1, [3, 1, 4], np.arange(toxicity.WINDOW) % 3 + 1
+    y = np.array([1.0, 0.0, 1.0])
+    x = net.inputs(words).astype(np.float64)
+
+    def loss(inputs):
+        z = net.forward(net.project(inputs).astype(np.float64), at).astype(np.float64)
+        return float(np.mean(np.logaddexp(0, z) - y * z))
+
+    g, d_x = net.gradients(x, at, y.astype(np.float32))
+    rng, step = np.random.default_rng(1), 1e-2
+    for value, slope in [*((getattr(net, k), g[k]) for k in g), (x, d_x)]:
+        rows = 1 if value is x else 0
+        for _ in range(6):
+            i = tuple(int(rng.integers(rows if n == 0 else 0, s)) for n, s in enumerate(value.shape))
+            old = value[i]
+            value[i] = old + step
+            up = loss(x)
+            value[i] = old - step
+            down = loss(x)
+            value[i] = old
+            assert (up - down) / (2 * step) == pytest.approx(float(slope[i]), rel=0.05, abs=3e-4)
+
+
+def slow_score(net, words):
+    """One window at a time, one step at a time."""
+    best = -np.inf
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    h = toxicity.HIDDEN
+    for a in toxicity.starts_of(len(words)):
+        part = words[a : a + toxicity.WINDOW]
+        x = net.inputs(part) if part else np.zeros((0, 1))
+        states = np.zeros((len(part), 2 * h))
+        for k, order in ((0, range(len(part))), (1, range(len(part) - 1, -1, -1))):
+            s = np.zeros(h)
+            for t in order:
+                own = x[t] @ net.w[k] + net.b[k]
+                r, z = np.split(sig(own[: 2 * h] + s @ net.u[k][:, : 2 * h]), 2)
+                c = np.tanh(own[2 * h :] + r * (s @ net.u[k][:, 2 * h :]))
+                s = (1 - z) * c + z * s
+                states[t, k * h : k * h + h] = s
+        a = np.exp(np.tanh(states @ net.look) @ net.ask)
+        best = max(best, float(((a / a.sum()) @ states if len(part) else np.zeros(2 * h)) @ net.out + net.bias[0]))
+    return sig(best)
+
+
+def test_scores_are_those_of_single_windows():
+    texts = [t.encode() for _, t, _ in toxic_rows(40)] + [b"", b"one", b"w " * 300]
+    net = toxicity.fit(texts[:40], [y for *_, y in toxic_rows(40)], steps=5)
+    got = toxicity.Scorer(net).scores(texts)
+    assert got == pytest.approx([slow_score(net, toxicity.words_of(t)) for t in texts], abs=1e-4)
+
+
+def test_a_passage_across_any_border_is_caught():
+    rows = toxic_rows(600)
+    net = toxicity.fit([t.encode() for _, t, _ in rows], [y for *_, y in rows])
+    scorer, clean = toxicity.Scorer(net), "erthan inones then an es onin"
+    for at in range(60, 140, 8):
+        words = (clean.split() * 40)[:200]
+        words[at : at + 30 : 10] = ["zqidiot", "zqmoron", "zqclown"]
+        assert scorer.scores([" ".join(words).encode()])[0] > 0.7
+    assert scorer.scores([" ".join((clean.split() * 40)[:200]).encode()])[0] < 0.7

@@ -8,8 +8,6 @@ with such runs (``uncut``) are left whole.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-
 _ODD = re.compile(r"\s \s|\s \Z")
 
 
@@ -17,18 +15,6 @@ def uncut(text: str) -> bool:
     return _ODD.search(text) is not None
 
 
-def groups(texts: list[str], chars: int = 4_000_000) -> Iterator[slice]:
-    """Slices of texts with about so many characters: the unit in which new words are gathered."""
-    begin = n = 0
-    for k, x in enumerate(texts):
-        n += len(x)
-        if n >= chars:
-            yield slice(begin, k + 1)
-            begin, n = k + 1, 0
-    if begin < len(texts):
-        yield slice(begin, len(texts))
-
-
 class Encoded(dict):
     """Encodings by chunk, bounded: past ``limit`` entries only those of the chunks just wanted stay."""
 

@@ -49,12 +49,12 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     salted = rows.groupBy("digest", "salt", "norm").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("size"))
     groups = (
         salted.groupBy("digest", "norm")
-        .agg(F.min("best").alias("best"), F.sum("size").alias("group_size"))
-        .select("digest", F.length("norm").alias("len"), F.xxhash64("norm").alias("second"), "best", "group_size")
+        .agg(F.min("best").alias("best"), F.sum("size").alias("group_size"), F.collect_set("salt").alias("salts"))
+        .select("digest", F.length("norm").alias("len"), F.xxhash64("norm").alias("second"), "best", "group_size", F.explode("salts").alias("salt"))
     )
-    members = rows.select("id", "n", "digest", F.length("norm").alias("len"), F.xxhash64("norm").alias("second"))
-    # A digest that holds a third of the rows is one skewed join key, which the adaptive plan splits.
-    return members.join(groups, ["digest", "len", "second"]).select(
+    members = rows.select("id", "n", "digest", F.length("norm").alias("len"), F.xxhash64("norm").alias("second"), "salt")
+    # A group goes back once for each of its salts, so a text that fills a third of the rows is no hot join key.
+    return members.join(groups, ["digest", "len", "second", "salt"]).select(
         F.col("id").alias(id_col),
         F.col("best.id").alias("keep_id"),
         F.col("group_size").cast("long").alias("group_size"),
@@ -67,7 +67,8 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of docs that stay, whole and with their columns, one of each group of equal texts.
 
     The same rule as duplicate_groups; the row itself travels with the winner, so of fully repeated
-    rows exactly one stays, and null ids need no join. Extra columns of any name are kept.
+    rows exactly one stays, and null ids need no join. Extra columns of any name are kept; of rows equal
+    in id and text that differ only in them, any one stays.
     """
     row = F.struct(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns)])
     rows = docs.select(row.alias("row"), F.col(id_col).alias("id"), text_of(text_col).alias("text")).select(

@@ -2,12 +2,17 @@
 
 A text block is a window of 2n consecutive words at every n-th word, n the template's length in words,
 so every stretch of n words lies whole in a block. A block matches when it contains at least
-``threshold`` of the template's distinct words. Templates' words are ordered by their frequency over
-the whole corpus, rarest first. Filters, none of which loses a match:
+``threshold`` of the template's distinct words. The words of all templates are ordered by their
+frequency over the whole corpus, rarest first, and both sides hold their distinct words in that order;
+of a block only words of some template count, as no other can be in common. Filters, none of which
+loses a match of a template of m words that needs k of them:
 
-* prefix: of k needed words out of m, a match must hold one of the m - k + 1 rarest;
-* length: a block with fewer than k distinct words can't match;
-* position: after the first common word at place p of the order, m - p words can be common at most.
+* length: a block with fewer than k such words, counted by their places before any set is made;
+* prefix: the m - k + 1 rarest of the template and the b - k + 1 rarest of a block's b have none in common;
+* position: while both orders are merged, with c words in common before place p of the template and q
+  of the block, c + min(m - p, b - q) is the most that there can be; below k the merge ends.
+
+What is merged to the end is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -63,18 +68,40 @@ def word_counts(docs: DataFrame, vocabulary: frozenset[bytes], text_col: str = "
     return {bytes(r.word): r.n for r in rows.groupBy("word").agg(F.sum("n").alias("n")).collect()}
 
 
+def _common(x: list[int], y: list[int], p: int, q: int, need: int) -> int:
+    """Number of common elements of two sorted lists, the first at places p and q; 0 as soon as fewer than need are left (position)."""
+    c = 0
+    while p < len(x) and q < len(y):
+        if c + min(len(x) - p, len(y) - q) < need:
+            return 0
+        if x[p] == y[q]:
+            c, p, q = c + 1, p + 1, q + 1
+        elif x[p] < y[q]:
+            p += 1
+        else:
+            q += 1
+    return c if c >= need else 0
+
+
 class Scanner:
     def __init__(self, counts: dict[bytes, int], templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD):
-        self.threshold, self.phrases, self.prefix = threshold, [(p.encode().split(), label) for p, label in phrases], {}
-        self.templates = []
-        for label, text in templates:
+        self.threshold, self.phrases = threshold, [(p.encode().split(), label) for p, label in phrases]
+        vocabulary = {w for _, t in templates for w in t.encode().split()}
+        self.order = {w: k for k, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
+        self.templates: list[tuple[str, int, list[int], int]] = []
+        #: By template length: the least number of words needed, and templates by the words of their prefix, with the place there.
+        self.index: dict[int, tuple[int, dict[int, list[tuple[int, int]]]]] = {}
+        for t, (label, text) in enumerate(templates):
             words = text.encode().split()
-            order = sorted(set(words), key=lambda w: (counts.get(w, 0), w))
-            need = ceil(threshold * len(order) - 1e-9)
-            self.templates.append((label, len(words), order, need))
-            for p, w in enumerate(order[: len(order) - need + 1]):
-                self.prefix.setdefault(w, []).append((len(self.templates) - 1, p))
+            ranks = sorted({self.order[w] for w in words})
+            need = ceil(threshold * len(ranks) - 1e-9)
+            self.templates.append((label, len(words), ranks, need))
+            least, prefix = self.index.get(len(words), (need, {}))
+            for p, r in enumerate(ranks[: len(ranks) - need + 1]):
+                prefix.setdefault(r, []).append((t, p))
+            self.index[len(words)] = min(least, need), prefix
         self.first = frozenset(p[0] for p, _ in self.phrases)
+        self.seen: Counter = Counter()  # blocks, and what each filter has left of blocks with templates
 
     def base(self, words: list[bytes], have: set[bytes]) -> tuple[list[int], set[str]]:
         starts, labels = [], set()
@@ -93,29 +120,31 @@ class Scanner:
 
     def blocks(self, words: list[bytes], have: set[bytes]) -> list[tuple[int, int, int, float]]:
         """(template, start, end, containment) of every block that matches, start and end in words."""
-        hits = have.intersection(self.prefix)
-        if not hits:
+        if have.isdisjoint(self.order):
             return []
-        candidates: dict[tuple[int, int], int] = {}
-        for at, w in enumerate(words):
-            if w in hits:
-                for t, p in self.prefix[w]:
-                    n = self.templates[t][1]
-                    for b in range(max(0, at // n - 1), at // n + 1):  # the two blocks that hold this word
-                        candidates[t, b] = min(p, candidates.get((t, b), p))
+        places = [k for k, w in enumerate(words) if w in self.order]
+        ranks = [self.order[words[k]] for k in places]
         found = []
-        for (t, b), p in candidates.items():
-            _, n, order, need = self.templates[t]
-            if len(order) - p < need:  # position
-                continue
-            block = set(words[b * n : b * n + 2 * n])
-            if len(block) < need:  # length
-                continue
-            if (both := sum(w in block for w in order)) >= need:
-                found.append((t, b * n, min(len(words), b * n + 2 * n), both / len(order)))
+        for n, (least, prefix) in self.index.items():
+            for b in sorted({x for k in places for x in (k // n - 1, k // n) if x >= 0}):
+                x, y = bisect_left(places, b * n), bisect_left(places, b * n + 2 * n)
+                self.seen["blocks"] += 1
+                if y - x < least:  # length
+                    continue
+                self.seen["length"] += 1
+                own = sorted(set(ranks[x:y]))
+                tried = set()
+                for q, r in enumerate(own[: len(own) - least + 1]):
+                    for t, p in prefix.get(r, ()):
+                        _, _, template, need = self.templates[t]
+                        if t in tried or q > len(own) - need:  # prefix
+                            continue
+                        tried.add(t)
+                        self.seen["prefix"] += 1
+                        if both := _common(template, own, p, q, need):
+                            found.append((t, b * n, min(len(words), b * n + 2 * n), both / len(template)))
         return sorted(found)
 
-
     def named(self, blocks: list[tuple[int, int, int, float]], words: list[bytes]) -> set[str]:
         """Labels of all blocks, but for those that another of the family outdoes on the same words."""
         labels = {self.templates[t][0] for t, *_ in blocks}
@@ -136,8 +165,8 @@ class Scanner:
         (t, a, b, c), (u, v, w, d) = x, y
         if c >= d or max(a, v) >= min(b, w):
             return False
-        own = set(self.templates[t][2]).intersection(words[a:b])
-        return own <= set(self.templates[u][2]).intersection(words[max(a, v) : min(b, w)])
+        ranks = lambda a, b: {self.order.get(x) for x in words[a:b]}
+        return ranks(a, b).intersection(self.templates[t][2]) <= ranks(max(a, v), min(b, w)).intersection(self.templates[u][2])
 
 
 SCHEMA = (

@@ -94,15 +94,15 @@ bw AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')),
 ds AS (SELECT doc_id, i, list_aggregate(ws[i:i + 4], 'string_agg', ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM dw)),
 bs AS (SELECT item_id, i, list_aggregate(ws[i:i + 4], 'string_agg', ' ') AS s, len(ws) - 4 AS n FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM bw)),
 nd AS (SELECT doc_id, count(*) AS m FROM ds GROUP BY doc_id),
-al AS (SELECT DISTINCT doc_id, greatest(least(ds.i - bs.i + 1, m - n + 1), 1) AS b, n FROM ds JOIN bs USING (s) JOIN nd USING (doc_id)),
-wc AS (SELECT doc_id, b, n, s, count(*) AS c FROM al JOIN ds USING (doc_id) WHERE ds.i BETWEEN b AND b + n - 1 GROUP BY ALL),
-ws AS (SELECT doc_id, b, n, sum(c) AS p FROM wc GROUP BY ALL),
 bc AS (SELECT item_id, n, s, count(*) AS c FROM bs GROUP BY ALL),
-cm AS (SELECT doc_id, b, n, item_id, sum(least(wc.c, bc.c)) AS c FROM wc JOIN bc USING (n, s) GROUP BY ALL),
-sm AS (SELECT doc_id, item_id, b - 1 AS start, p + 4 AS n_words, CAST(c AS DOUBLE) / (p + n - c) AS similarity
-  FROM cm JOIN ws USING (doc_id, b, n) WHERE 100 * c >= 80 * (p + n - c))
+hit AS (SELECT doc_id, item_id, n, s, i, c FROM ds JOIN bc USING (s)),
+pr AS (SELECT doc_id, item_id, n FROM hit GROUP BY ALL HAVING 100 * count(*) >= 80 * n),
+al AS (SELECT doc_id, item_id, n, m, unnest(range(1, greatest(m - n, 0) + 2)) AS b FROM pr JOIN nd USING (doc_id)),
+wc AS (SELECT doc_id, item_id, al.n, least(m, al.n) AS p, b, s, least(count(*), any_value(c)) AS c FROM al JOIN hit USING (doc_id, item_id) WHERE i BETWEEN b AND b + al.n - 1 GROUP BY ALL),
+cm AS (SELECT doc_id, item_id, n, p, b, CAST(sum(c) AS BIGINT) AS c FROM wc GROUP BY ALL),
+sm AS (SELECT doc_id, item_id, b - 1 AS start, p + 4 AS n_words, CAST(c AS DOUBLE) / (p + n - c) AS similarity FROM cm WHERE 100 * c >= 80 * (p + n - c))
 SELECT doc_id, item_id, CAST(start AS BIGINT) AS start, CAST(n_words AS BIGINT) AS n_words, similarity FROM sm
-QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start, n_words) = 1
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start DESC) = 1
 """
 
 

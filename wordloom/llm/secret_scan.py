@@ -155,19 +155,17 @@ class Field:
             return None
         out = np.zeros(len(tokens), np.int8)
         for run in np.split(open_, np.flatnonzero(np.diff(open_) > 1) + 1):
-            out[run] = self._viterbi(e[run], run[0] > 0, run[-1] + 1 < len(tokens))
+            out[run] = self._viterbi(e[run])
         return out if out.any() else None
 
-    def _viterbi(self, e: np.ndarray, after: bool, before: bool) -> list[int]:
-        """after, before: an outside token stands on that side."""
-        best, back = e[0] + (self.steps[0] if after else 0), []
+    def _viterbi(self, e: np.ndarray) -> list[int]:
+        """Before and after the run stands an outside token, or the text's end, which counts as one (fit learns so)."""
+        best, back = e[0] + self.steps[0], []
         for x in e[1:]:
             each = best[:, None] + self.steps
             back.append(each.argmax(axis=0))
             best = each.max(axis=0) + x
-        if before:
-            best = best + self.steps[:, 0]
-        path = [int(best.argmax())]
+        path = [int((best + self.steps[:, 0]).argmax())]
         for b in reversed(back):
             path.append(int(b[path[-1]]))
         return path[::-1]
@@ -236,10 +234,13 @@ def generated(n: int = GENERATED, seed: int = 11) -> list[tuple[list[str], list[
     out = []
     for _ in range(n):
         left, right = (" ".join(word() for _ in range(rng.randint(0, 8))) for _ in range(2))
-        kind = rng.randrange(6)
+        kind = rng.randrange(7)
         if kind == 0:
             value = mixed(rng.randint(8, 40), strong + "+/_-")
-            lead = rng.choice(KEYWORDS[:6]) + rng.choice(["=", " = ", ": ", ":", '="', ' = "'])
+            name = rng.choice(KEYWORDS)
+            lead = rng.choice([name, name.upper(), name.capitalize()]) + rng.choice(["=", " = ", ": ", ":", '="', ' = "'])
+        elif kind == 6:  # no mark between key word and value
+            value, lead = mixed(rng.randint(16, 48), strong + "+/_-."), rng.choice(["Bearer ", "bearer ", "Authorization: Bearer ", "token ", "api key "])
         elif kind == 1:
             value, lead = "AKIA" + mixed(rng.randint(12, 16), letters.upper() + "0123456789"), ""
         elif kind == 2:

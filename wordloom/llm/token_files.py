@@ -27,8 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordloom.llm.batches import take_over
-from wordloom.llm.chunks import Encoded, groups, uncut
+from wordloom.llm.batches import slices, take_over
+from wordloom.llm.chunks import Encoded, uncut
 from wordloom.llm.shared import shared_dir, text_of, written
 
 MAGIC = b"WLTOKEN1"
@@ -180,23 +180,21 @@ def _loaded(definition: str) -> Encoder:
 
 
 def _save(folder: str, name: str, data: bytes) -> str:
-    """Written under another name and then moved, so that a repeated task leaves one whole file."""
+    """Written under a name of this attempt's own; the row that names it is what makes it part of the result."""
     system, path = pafs.FileSystem.from_uri(folder)
     system.create_dir(path, recursive=True)
-    draft, final = f"{path}/.{name}-{uuid.uuid4().hex}", f"{path}/{name}"
-    with system.open_output_stream(draft) as f:
+    own = f"{name}-{uuid.uuid4().hex}.tok"
+    with system.open_output_stream(f"{path}/{own}") as f:
         f.write(data)
-    if system.get_file_info(final).type != pafs.FileType.NotFound:
-        system.delete_file(final)
-    system.move(draft, final)
-    return f"{folder}/{name}"
+    return f"{folder}/{own}"
 
 
 def write_tokens(docs: DataFrame, folder: str, definition: str, end_id: int | None, id_col="doc_id", text_col="text") -> DataFrame:
     """Encodes and writes all texts in ascending id order; a row for each file: part, seq, path, n_ids.
 
     Texts are dealt by ranges of ids, encoded where they land and written at once; a file is closed
-    at FILE_IDS ids, so a task's memory is bounded. folder: a URI that all executors can reach.
+    at FILE_IDS ids, so a task's memory is bounded. A repeated task writes files of other names, and only
+    those that a row names count. folder: a URI that all executors can reach.
     """
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     order = [F.col("id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
@@ -208,20 +206,18 @@ def write_tokens(docs: DataFrame, folder: str, definition: str, end_id: int | No
         keys, ends, data, n = [], [], [], 0
 
         def close() -> pa.RecordBatch:
-            path = _save(folder, f"part-{part:06d}-{seq:04d}.tok", file_bytes(keys, ends, np.frombuffer(b"".join(data), "<u4"), bits))
+            path = _save(folder, f"part-{part:06d}-{seq:04d}", file_bytes(keys, ends, np.frombuffer(b"".join(data), "<u4"), bits))
             return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "path": [path], "n_ids": [n]}, schema=schema)
 
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for some in groups(texts):
-                for i, found in zip(ids[some], encoder.encode_batch(texts[some]), strict=True):
-                    keys.append(i)
-                    data += (found, tail)
-                    n += (len(found) + len(tail)) // 4
-                    ends.append(n)
-                if n >= FILE_IDS:
-                    yield close()
-                    keys, ends, data, n, seq = [], [], [], 0, seq + 1
+        for batch in (some for whole in batches for some in slices(whole)):
+            for i, found in zip(batch.column(0).to_pylist(), encoder.encode_batch(batch.column(1).to_pylist()), strict=True):
+                keys.append(i)
+                data += (found, tail)
+                n += (len(found) + len(tail)) // 4
+                ends.append(n)
+            if n >= FILE_IDS:
+                yield close()
+                keys, ends, data, n, seq = [], [], [], 0, seq + 1
         if keys:
             yield close()
 

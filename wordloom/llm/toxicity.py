@@ -3,8 +3,9 @@
 A step is a word; its input joins a hashed word embedding with the mean of hashed embeddings of the
 word's character trigrams. Every text is scored whole, by all windows of WINDOW words at every
 STRIDE-th word; a text's score is that of its worst window. The network is fitted on the driver on
-a bounded sample of labelled texts (SAMPLE texts by label, of MAX_CHARS code points at most); which window makes a
-text toxic is unknown, so of a toxic text only the windows that score highest are taught.
+a bounded sample of labelled texts (SAMPLE texts by label, each whole); which window makes a text
+toxic is unknown, so of a toxic text only the windows that score highest are taught. Windows overlap by
+half, so a passage of STRIDE words lies whole in one.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from wordloom.llm.batches import by_text, chosen, take_over
 from wordloom.llm.license_scan import words_of
 from wordloom.llm.shared import text_of
 
-WINDOW, STRIDE = 64, 48
-SAMPLE, MAX_CHARS = {1: 1000, 0: 3000}, 8000
+WINDOW, STRIDE = 64, 32
+SAMPLE = {1: 1000, 0: 3000}
 WORD_BUCKETS, CHAR_BUCKETS, WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 1 << 13, 1 << 14, 8, 12, 8, 8
 STEPS, BATCH, RATE = 60, 256, 0.01  # a small sample is gone through more often
 CACHED_WORDS = 150_000
@@ -273,7 +274,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, fold, id_col="doc_id", t
     key = F.xxhash64("id")
     ids = labels.where(fold).select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     few = [ids.where(F.col("y") == v).orderBy(key, "id").limit(sizes[v]) for v in (0, 1)]
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text").between(1, MAX_CHARS))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text <> ''")
     rows = texts.join(F.broadcast(few[0].union(few[1])), "id").groupBy("id", "y").agg(F.max("text").alias("text")).orderBy(F.xxhash64("id"), "id").collect()
     return [r.text.encode() for r in rows], [r.y for r in rows]
 
@@ -341,8 +342,7 @@ def drop_toxic(docs: DataFrame, net: Network | None, text_col: str = "text") ->
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            data = [x.encode() for x in texts]
-            found = [_scorer(sent).scores(data[k : k + 100]) for k in range(0, len(data), 100)]
+            found = [_scorer(sent).scores([x.encode() for x in texts[k : k + 100]]) for k in range(0, len(texts), 100)]
             yield pd.Series(np.concatenate(found) if found else np.zeros(0))
 
     score.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
