@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.batches import by_text, chosen, take_over
+from wordloom.llm.batches import by_text, chosen, give_back, take_over
 from wordloom.llm.license_scan import words_of
 from wordloom.llm.shared import text_of
 
@@ -96,7 +96,10 @@ class Network:
         return np.stack([x @ self.w[k] + self.b[k] for k in (0, 1)], axis=1).astype(np.float32)
 
     def gates(self, words: list[bytes]) -> np.ndarray:
-        return np.concatenate([self.project(self.inputs(words[k : k + 20_000])) for k in range(0, len(words), 20_000)])
+        out = np.empty((len(words), 2, 3 * HIDDEN), np.float32)
+        for k in range(0, len(words), 20_000):
+            out[k : k + 20_000] = self.project(self.inputs(words[k : k + 20_000]))
+        return out
 
     def forward(self, gates: np.ndarray, at: np.ndarray, keep: bool = False):
         """Logits of windows. gates: projected inputs, row 0 for no word; at: (n, WINDOW) of rows of gates."""
@@ -181,18 +184,15 @@ class Adam:
 
 def fit(texts: list[bytes], labels: list[int], steps: int = STEPS, seed: int = 5) -> Network:
     net, adam, rng = Network.fresh(seed), Adam(RATE), np.random.default_rng(seed)
-    docs = [words_of(x) for x in texts]
-    vocabulary = sorted({w for d in docs for w in d})
-    row = {w: k + 1 for k, w in enumerate(vocabulary)}
-    all_words = [NO_WORD, *vocabulary]
+    row: dict[bytes, int] = {NO_WORD: 0}
     windows, owner = [], []
-    for k, d in enumerate(docs):
-        if d:
-            found = windows_of(np.array([row[w] for w in d], np.int32))
-            windows.append(found)
-            owner += [k] * len(found)
+    for k, x in enumerate(texts):  # a text's words become numbers at once: the driver holds each distinct word once
+        if len(found := np.fromiter((row.setdefault(w, len(row)) for w in words_of(x)), np.int32)):
+            windows.append(windows_of(found))
+            owner += [k] * len(windows[-1])
+    all_words = list(row)
     at, owner, y = np.concatenate(windows), np.array(owner), np.array(labels)
-    for epoch in range(max(6, min(100, steps * BATCH * 2 // (3 * len(docs)) + 1))):
+    for epoch in range(max(6, min(100, steps * BATCH * 2 // (3 * len(texts)) + 1))):
         gates = net.gates(all_words)
         logits = np.concatenate([net.forward(gates, at[k : k + CHUNK]) for k in range(0, len(at), CHUNK)])
         # Of each text its worst window (at first two), and other windows of clean texts by chance.
@@ -203,7 +203,7 @@ def fit(texts: list[bytes], labels: list[int], steps: int = STEPS, seed: int = 5
         toxic = y[owner] == 1
         taken = place < (2 if epoch < 2 else 1)
         spare = ~toxic & ~taken
-        picked = np.concatenate([np.flatnonzero(taken), rng.permutation(np.flatnonzero(spare))[: len(docs) // 2]])
+        picked = np.concatenate([np.flatnonzero(taken), rng.permutation(np.flatnonzero(spare))[: len(texts) // 2]])
         picked = rng.permutation(picked)
         for k in range(0, len(picked), BATCH):
             one = picked[k : k + BATCH]
@@ -282,7 +282,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, fold, id_col="doc_id", t
 def train(docs: DataFrame, labels: DataFrame, fold, **columns) -> Network | None:
     """None where the sample lacks one of the labels."""
     texts, y = labelled_sample(docs, labels, fold, **columns)
-    return fit(texts, y) if len(set(y)) == 2 else None
+    net = fit(texts, y) if len(set(y)) == 2 else None
+    give_back()
+    return net
 
 
 _HELD: list = [None, None]
