@@ -94,3 +94,14 @@ def test_shuffle_is_a_seeded_permutation(spark):
     one, two, other = ([tuple(r) for r in cooccur.shuffled(p.repartition(n), s).collect()] for n, s in ((3, 1), (5, 1), (3, 2)))
     assert one == two != other
     assert sorted(one) == sorted(other) == sorted(map(tuple, p.collect()))
+
+
+def test_rows_with_one_or_no_id_keep_their_lines_apart(spark):
+    v = spark.createDataFrame([(k + 1, w, 1) for k, w in enumerate("abcd")], "id int, word string, n long")
+    docs = spark.createDataFrame([(7, "a b"), (7, "c d"), (None, "a c"), (None, "b d")], "doc_id long, text string").repartition(3)
+    ids = cooccur.encoded(docs, v)
+    got = {(r.word1, r.word2): r.val for r in cooccur.cooccurrence(ids, CooccurOptions(window_size=1, symmetric=False)).collect()}
+    assert got == {(1, 2): 1.0, (3, 4): 1.0, (1, 3): 1.0, (2, 4): 1.0}
+    assert sorted((str(r.doc_id), r.pos) for r in ids.collect()) == [("7", 0), ("7", 0), ("7", 1), ("7", 1), ("None", 0), ("None", 0), ("None", 1), ("None", 1)]
+    twice = docs.unionByName(docs)
+    assert {r.val for r in cooccur.cooccurrence(cooccur.encoded(twice, v), CooccurOptions(window_size=1, symmetric=False)).collect()} == {2.0}

@@ -32,12 +32,12 @@ class TrainOptions:
     grad_clip: float = 100.0
     seed: int = 0
     checkpoint_every: int = 0
-    blocks: int = 4  # stratified mode: parts of the words, and of the contexts
+    blocks: int = 0  # stratified mode: parts of the words, and of the contexts; 0: by the number of records
     batch: int = 256  # stratified mode: records of one update
     mode: str = "stratified"  # or exact, fullbatch
 
     def __post_init__(self):
         if self.mode not in ("stratified", "exact", "fullbatch"):
             raise ValueError(f"unknown mode {self.mode}")
-        if self.vector_size < 1 or self.blocks < 1 or self.batch < 1:
-            raise ValueError("vector_size, blocks and batch must be at least 1")
+        if self.vector_size < 1 or self.batch < 1:
+            raise ValueError("vector_size and batch must be at least 1")

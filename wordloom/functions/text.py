@@ -30,9 +30,12 @@ def truncated(word: Column) -> Column:
 
 
 def tokens(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line, pos, word. A null text has no tokens; a line break is a context boundary."""
-    lines = corpus.select(F.col(id_col).alias("doc_id"), F.posexplode(lines_of(F.col(text_col))).alias("line", "t"))
-    return lines.select("doc_id", "line", F.posexplode(words_of(F.col("t"))).alias("pos", "word"))
+    """doc_id, row, line, pos, word. A null text has no tokens; a line break is a context boundary.
+
+    row is the corpus row's own number, so rows with the same or no doc_id keep their lines apart.
+    """
+    lines = corpus.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.posexplode(lines_of(F.col(text_col))).alias("line", "t"))
+    return lines.select("doc_id", "row", "line", F.posexplode(words_of(F.col("t"))).alias("pos", "word"))
 
 
 def words(corpus: DataFrame, text_col: str = "text") -> DataFrame:

@@ -9,21 +9,31 @@ from pyspark.sql import functions as F
 
 from wordloom.config import CooccurOptions
 from wordloom.functions.text import tokens
+from wordloom.sources.tables import written
 
-#: So many vocabulary words, some 100 MB, may be broadcast; a larger vocabulary is joined by shuffling.
-SENT_WORDS = 1_500_000
+#: So many bytes of vocabulary may be broadcast; a larger one is joined by shuffling.
+SENT_BYTES = 128 << 20
+WORD_BYTES = 40  # that a row takes beside its word
 #: Positions of one line that are joined in one group; neighbours across the border meet in the next one.
 BLOCK = 512
 
 
+def sendable(known: DataFrame) -> DataFrame:
+    """A vocabulary (word, id), marked for broadcast if its bytes, summed over a written table, allow it."""
+    known = written(known, "vocabulary")
+    size = known.agg(F.sum(F.octet_length("word").cast("long") + WORD_BYTES)).first()[0] or 0
+    return F.broadcast(known) if size <= SENT_BYTES else known
+
+
 def encoded(corpus: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line, pos, id. Words out of the vocabulary go first, so pos counts those that are left."""
-    known = vocab.select("word", "id")
-    if vocab.count() <= SENT_WORDS:
-        known = F.broadcast(known)
-    kept = tokens(corpus, id_col, text_col).join(known, "word")
-    pos = F.row_number().over(Window.partitionBy("doc_id", "line").orderBy("pos")) - 1
-    return kept.select("doc_id", "line", pos.alias("pos"), "id")
+    """doc_id, row, line, pos, id. Words out of the vocabulary go first, so pos counts those that are left.
+
+    Lines are those of a corpus row (row, see tokens), whatever its doc_id: repeated and null ids give
+    each row's lines by themselves. The vocabulary is computed once, into a table.
+    """
+    kept = tokens(corpus, id_col, text_col).join(sendable(vocab.select("word", "id")), "word")
+    pos = F.row_number().over(Window.partitionBy("row", "line").orderBy("pos")) - 1
+    return kept.select("doc_id", "row", "line", pos.alias("pos"), "id")
 
 
 def unit_for(window: int) -> int:
@@ -35,14 +45,15 @@ def pair_sums(ids: DataFrame, options: CooccurOptions) -> DataFrame:
     """word1, word2, units: sums of whole numbers, so the order of addition can't matter.
 
     Symmetric: each unordered pair once, mirrored after the aggregation. A line is joined in blocks of
-    BLOCK positions, so neither work nor a task grows with the square of a line's length.
+    BLOCK positions, so neither work nor a task grows with the square of a line's length. ids: row, line, pos, id.
     """
+    ids = written(ids.select("row", "line", "pos", "id"), "ids")  # both sides of the join read it
     w = options.window_size
     block = max(BLOCK, w)
-    left = ids.select("doc_id", "line", F.col("pos").alias("p1"), F.col("id").alias("i1"), F.explode(F.array_distinct(F.array(F.floor(F.col("pos") / block), F.floor((F.col("pos") + w) / block)))).alias("block"))
-    right = ids.select(F.col("doc_id").alias("d2"), F.col("line").alias("l2"), F.col("pos").alias("p2"), F.col("id").alias("i2"), F.floor(F.col("pos") / block).alias("b2"))
+    left = ids.select("row", "line", F.col("pos").alias("p1"), F.col("id").alias("i1"), F.explode(F.array_distinct(F.array(F.floor(F.col("pos") / block), F.floor((F.col("pos") + w) / block)))).alias("block"))
+    right = ids.select(F.col("row").alias("r2"), F.col("line").alias("l2"), F.col("pos").alias("p2"), F.col("id").alias("i2"), F.floor(F.col("pos") / block).alias("b2"))
     near = (F.col("p2") > F.col("p1")) & (F.col("p2") - F.col("p1") <= w)
-    same = F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("line") == F.col("l2")) & (F.col("block") == F.col("b2"))
+    same = (F.col("row") == F.col("r2")) & (F.col("line") == F.col("l2")) & (F.col("block") == F.col("b2"))
     pairs = left.join(right, same & near)
     unit = unit_for(w) if options.distance_weighting else 1
     units = F.expr(f"cast({unit}L div (p2 - p1) as decimal(38,0))" if w > 30 else f"{unit}L div (p2 - p1)") if options.distance_weighting else F.lit(1).cast("long")

@@ -1,19 +1,28 @@
 """Word vectors: export forms, the unknown vector, neighbours and analogies.
 
-Vectors are id, word, v (array of double). Queries are few and broadcast behind a count; the scored
-table is scanned once, and each task keeps its best k of a query before anything is shuffled.
+Vectors are id, word, v (array of double). Queries travel as a matrix of counted bytes; the scored table
+is scanned once for each such matrix, multiplied batch by batch, and a task keeps only its best k of a
+query, so the scores of all words for all queries never exist as rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from wordloom.functions import vectors as vec
+from wordloom.sources.tables import written
 
 MODELS = ("word_and_bias", "word", "sum", "concat")  # export models 0 to 3
 RARE = 100  # so many last ranks make the unknown vector
-SENT_QUERIES = 100_000
+SENT_BYTES = 64 << 20  # of queries and their answers
+SCORED = 4_000_000  # scores that a task holds at once
+DIGITS = 12
 
 
 class UnknownTerm(ValueError):
@@ -46,15 +55,60 @@ def normalized(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("v", vec.unit(F.col("v")))
 
 
-def _few(queries: DataFrame) -> DataFrame:
-    return F.broadcast(queries) if queries.count() <= SENT_QUERIES else queries
+def _best_of(units: DataFrame, asked: np.ndarray, skip: list[list[int]], k: int) -> DataFrame:
+    """at, id, similarity: for each row of the matrix asked the k best of a task's units, one set of rows a task."""
+    hidden: dict[int, list[int]] = {}
+    for q, found in enumerate(skip):
+        for i in found:
+            hidden.setdefault(i, []).append(q)
+    step = max(1, SCORED // max(1, len(asked)))
+    sent = units.sparkSession.sparkContext.broadcast((asked, hidden))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, hidden = sent.value
+        q, i, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for batch in batches if len(asked) else ():
+            for a in range(0, batch.num_rows, step):
+                part = batch.slice(a, step)
+                own = part.column(0).to_numpy()
+                # Ties are told by id, so what products differ by in the last digits must not decide.
+                scores = np.round(asked @ part.column(1).flatten().to_numpy().reshape(len(own), -1).T, DIGITS)
+                for at in np.flatnonzero(np.isin(own, list(hidden))):
+                    scores[hidden[int(own[at])], at] = -np.inf
+                least = np.partition(scores, -k, axis=1)[:, -k] if len(own) > k else np.full(len(asked), -np.inf)
+                rows, columns = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+                q, i, s = np.append(q, rows), np.append(i, own[columns]), np.append(s, scores[rows, columns])
+                order = np.lexsort((i, -s, q))
+                q, i, s = q[order], i[order], s[order]
+                first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
+                kept = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) < k
+                q, i, s = q[kept], i[kept], s[kept]
+        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(s)], names=["at", "id", "similarity"])
+
+    return units.select(F.col("id").cast("long"), "v").mapInArrow(run, "at long, id long, similarity double")
 
 
 def best(units: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query, rank, id, word, similarity for queries (query, qv, skip): the k best of all units, but for ids in skip."""
-    scored = units.where("v is not null").join(_few(queries), ~F.array_contains("skip", F.col("id"))).select("query", "id", "word", vec.dot(F.col("v"), F.col("qv")).alias("similarity"))
+    """query, rank, id, word, similarity for queries (query, qv, skip): the k best of all units, but for ids in skip.
+
+    Similarities are rounded to DIGITS decimals; ties go by id. Queries come to the driver in parts of
+    SENT_BYTES at most, each of which is multiplied with all units.
+    """
+    spark, units = units.sparkSession, units.where("v is not null")
+    queries = written(queries.select("query", "qv", "skip"), "queries")
+    size = queries.agg(F.sum(F.size("qv").cast("long") + 2 * k + F.size("skip"))).first()[0] or 0
+    parts = 8 * size // SENT_BYTES + 1
+    found = None
+    for p in range(parts):
+        rows = queries.where(F.pmod(F.xxhash64("qv"), F.lit(parts)) == p).collect()
+        if rows or p == 0:
+            asked = np.array([r.qv for r in rows], float) if rows else np.zeros((0, 1))
+            names = spark.createDataFrame([(n, r.query) for n, r in enumerate(rows)], StructType([StructField("at", LongType()), StructField("query", queries.schema["query"].dataType)]))
+            top = _best_of(units, asked, [r.skip for r in rows], k).join(F.broadcast(names), "at").drop("at")
+            found = top if found is None else found.unionByName(top)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "id", "word", "similarity")
+    ranked = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return ranked.join(units.select("id", "word"), "id").select("query", "rank", F.col("id").cast(units.schema["id"].dataType).alias("id"), "word", "similarity")
 
 
 def neighbors(units: DataFrame, query_ids: DataFrame, k: int = 100) -> DataFrame:
@@ -143,3 +197,14 @@ def running_accuracy(answers: DataFrame) -> DataFrame:
     per = answers.groupBy("category").agg(F.count(F.lit(1)).alias("seen"), F.count_if("correct").alias("correct"))
     w = Window.orderBy("category").rowsBetween(Window.unboundedPreceding, 0)
     return per.select("category", "seen", "correct", F.sum("seen").over(w).alias("seen_so_far"), F.sum("correct").over(w).alias("correct_so_far"))
+
+
+def looked_up(vectors: DataFrame, asked: DataFrame, unknown: DataFrame) -> DataFrame:
+    """The rows of asked (word and others) with v: the word's vector, or unknown's (one row, v) where it has none. A null word is unknown."""
+    known = asked.join(vectors.select("word", F.col("v").alias("own")), "word", "left")
+    return known.join(F.broadcast(unknown.select(F.col("v").alias("other")))).select(*asked.columns, F.coalesce("own", "other").alias("v"))
+
+
+def evaluated(vectors: DataFrame, questions: DataFrame, semantic: Column) -> DataFrame:
+    """accuracy of vectors (id, word, v), of any source, on questions (category, seq, a, b, c, d)."""
+    return accuracy(predicted(normalized(vectors), known_questions(questions, vectors)), semantic)

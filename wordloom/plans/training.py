@@ -9,10 +9,16 @@ the shuffled order, on one task; stratified deals words and contexts to P parts
 pairs of parts that share nothing at the same time, so each epoch equals some serial order;
 fullbatch sums all gradients and makes one step, in plain DataFrame operations; as eta doesn't scale bias
 steps, its first steps overshoot, so it serves to check the formula rather than to fit vectors.
+
+The records are written once, before the first iteration, for stratified training by the pair of parts
+that they belong to; an iteration reads them again, and its cost is a row of the costs table.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+from math import ceil, sqrt
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +28,8 @@ from wordloom.config import TrainOptions
 from wordloom.functions import vectors as vec
 from wordloom.plans.checkpoint import Checkpoints
 
+COST = "cost"
+PART_RECORDS = 4_000_000  # records of a task in stratified mode, some 150 MB in its worker
 PARAMS = "side string, id int, v array<double>, b double, g array<double>, gb double"
 
 
@@ -51,7 +59,7 @@ def errors(pairs: DataFrame, params: DataFrame, options: TrainOptions) -> DataFr
     """word1, word2, both sides' parameters, diff and fd = f * diff of every usable pair."""
     side = lambda s, key: params.where(F.col("side") == s).select(F.col("id").alias(key), *[F.col(x).alias(s + x) for x in ("v", "b", "g", "gb")])
     full = usable(pairs).join(side("w", "word1"), "word1").join(side("c", "word2"), "word2")
-    diff = vec.dot(F.col("wv"), F.col("cv")) + F.col("wb") + F.col("cb") - F.ln("val")
+    diff = vec.dot_of(F.col("wv"), F.col("cv"), options.vector_size) + F.col("wb") + F.col("cb") - F.ln("val")
     with_diff = full.withColumn("diff", diff).withColumn("fd", vec.pair_weight(F.col("val"), options.x_max, options.alpha) * F.col("diff"))
     return with_diff.where(vec.finite(F.col("diff")) & vec.finite(F.col("fd")))
 
@@ -64,16 +72,18 @@ def cost(pairs: DataFrame, params: DataFrame, options: TrainOptions) -> DataFram
 
 
 def fullbatch_step(pairs: DataFrame, params: DataFrame, options: TrainOptions) -> DataFrame:
-    """Parameters after one step along the summed gradients."""
+    """Parameters after one step along the summed gradients. A gradient that isn't finite moves nothing."""
     e = errors(pairs, params, options)
+    dims = range(options.vector_size)
 
     def grads(side: str, key: str, other: str) -> DataFrame:
-        one = lambda x: vec.clipped(F.col("fd") * x, options.grad_clip) * options.eta
-        rows = e.select(F.lit(side).alias("side"), F.col(key).alias("id"), "fd", F.posexplode(F.transform(other, one)).alias("dim", "t"))
-        dims = rows.groupBy("side", "id", "dim").agg(F.sum("t").alias("t"), F.sum("fd").alias("fd"))
-        return dims.groupBy("side", "id").agg(F.array_sort(F.collect_list(F.struct("dim", "t"))).alias("d"), F.min_by("fd", "dim").alias("fd"))
+        """A column for each dimension, so that partial sums are made where the pairs are."""
+        one = lambda k: F.sum(vec.clipped(F.col("fd") * F.col(other)[k], options.grad_clip) * options.eta).alias(f"t{k}")
+        sums = e.groupBy(F.col(key).alias("id")).agg(*[one(k) for k in dims], F.sum("fd").alias("fd"))
+        return sums.select(F.lit(side).alias("side"), "id", F.array(*[f"t{k}" for k in dims]).alias("t"), "fd")
 
-    steps = grads("w", "word1", "cv").unionByName(grads("c", "word2", "wv")).select("side", "id", F.col("d.t").alias("t"), "fd")
+    steps = grads("w", "word1", "cv").unionByName(grads("c", "word2", "wv"))
+    steps = steps.where(F.forall("t", lambda x: vec.finite(x)) & vec.finite(F.col("fd")))
     out = params.join(steps, ["side", "id"], "left")
     moved = F.zip_with(F.col("v"), F.zip_with("t", "g", lambda t, g: t / F.sqrt(g)), lambda v, u: v - u)
     new = lambda x, y: F.when(F.col("t").isNull(), F.col(y)).otherwise(x).alias(y)
@@ -125,46 +135,102 @@ def _order(seed: int) -> Column:
     return F.xxhash64(F.lit(seed), "word1", "word2")
 
 
+def _cost_row(total: float) -> pd.DataFrame:
+    """Travels with the parameters, as a side of its own."""
+    return pd.DataFrame({"side": [COST], "id": [0], "v": [[]], "b": [total], "g": [[]], "gb": [0.0]})
+
+
 def _group(both: pd.DataFrame, records: pd.DataFrame, options: TrainOptions, batch: int) -> pd.DataFrame:
     sides = {s: _arrays(both[both["side"] == s]) for s in ("w", "c")}
     r = records.sort_values(["k", "word1", "word2"], kind="stable")
     i, j = (np.searchsorted(sides[s][0], r[k].to_numpy()) for s, k in (("w", "word1"), ("c", "word2")))
-    if len(r):
-        run_records(sides["w"][1], sides["c"][1], i, j, r["val"].to_numpy(float), options, batch)
-    return pd.concat([_frame(s, *sides[s]) for s in ("w", "c")])
+    total = run_records(sides["w"][1], sides["c"][1], i, j, r["val"].to_numpy(float), options, batch) if len(r) else 0.0
+    return pd.concat([_frame(s, *sides[s]) for s in ("w", "c")] + [_cost_row(total)])
+
+
+def _split(trained: DataFrame) -> tuple[DataFrame, float]:
+    """Parameters, and the sum of the costs that came with them."""
+    total = trained.where(F.col("side") == COST).agg(F.sum("b")).first()[0]
+    return trained.where(F.col("side") != COST), total or 0.0
 
 
 def exact_epoch(pairs: DataFrame, params: DataFrame, options: TrainOptions) -> DataFrame:
-    """All records one after another in the shuffled order, on one task: for small tables and tests."""
+    """All records one after another in the shuffled order, on one task: for small tables and tests. The cost comes as a row of its own side."""
     p, r = params.withColumn("one", F.lit(1)), usable(pairs).select("word1", "word2", "val", _order(options.seed).alias("k"), F.lit(1).alias("one"))
     return p.groupBy("one").cogroup(r.groupBy("one")).applyInPandas(lambda a, b: _group(a, b, options, 1), PARAMS)
 
 
-def stratified_epoch(pairs: DataFrame, params: DataFrame, options: TrainOptions, cut) -> DataFrame:
+def _part(c, n: int) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+
+
+def stratified_epoch(records: DataFrame, params: DataFrame, options: TrainOptions, cut) -> tuple[DataFrame, float]:
     """options.blocks sub-epochs; in each, parts (p, p + s) train in parallel. cut: writes and rereads, ending the lineage."""
-    n = options.blocks
-    part = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    records = usable(pairs).select("word1", "word2", "val", _order(options.seed).alias("k"), part("word1").alias("p"), F.pmod(part("word2") - part("word1"), F.lit(n)).alias("s"))
+    n, total = options.blocks, 0.0
     for s in range(n):
-        at = F.when(F.col("side") == "w", part("id")).otherwise(F.pmod(part("id") - s, F.lit(n)))
+        at = F.when(F.col("side") == "w", _part("id", n)).otherwise(F.pmod(_part("id", n) - s, F.lit(n)))
         dealt = params.withColumn("p", at)
-        params = cut(dealt.groupBy("p").cogroup(records.where(F.col("s") == s).groupBy("p")).applyInPandas(lambda a, b: _group(a, b, options, options.batch), PARAMS))
-    return params
+        of_s = records.where(F.col("s") == s).drop("s")
+        params, more = _split(cut(dealt.groupBy("p").cogroup(of_s.groupBy("p")).applyInPandas(lambda a, b: _group(a, b, options, options.batch), PARAMS)))
+        total += more
+    return params, total
 
 
-def train(pairs: DataFrame, ids: DataFrame, options: TrainOptions, folder: str, resume: bool = False) -> DataFrame:
-    """Final parameters; checkpoints of each kept iteration, and the costs, are in folder. resume: go on from the last one."""
+def _records(pairs: DataFrame, options: TrainOptions, cut) -> tuple[DataFrame, int, TrainOptions]:
+    """Usable pairs in a table that all iterations read, the number of all pairs, and options with blocks.
+
+    The number of blocks follows from the number of records, so that a task of stratified training holds
+    about PART_RECORDS of them; the table is laid out by sub-epoch.
+    """
+    whole = cut(pairs.select("word1", "word2", "val", _order(options.seed).alias("k")))
+    n = whole.count()
+    if options.mode == "stratified":
+        blocks = options.blocks or max(2, ceil(sqrt(n / PART_RECORDS)))
+        options = replace(options, blocks=blocks)
+        p1, p2 = _part("word1", blocks), _part("word2", blocks)
+        whole = cut(usable(whole).withColumns({"p": p1, "s": F.pmod(p2 - p1, F.lit(blocks))}).repartition("s", "p"), "s")
+    else:
+        whole = usable(whole)
+    return whole, n, options
+
+
+def started(ids: DataFrame, options: TrainOptions, start: DataFrame | None) -> DataFrame:
+    """Initial parameters; those given in start (side, id, v, b and perhaps g, gb) take the place of the generated ones."""
+    own = initial(ids, options)
+    if start is None:
+        return own
+    has = [c for c in ("v", "b", "g", "gb") if c in start.columns]
+    given = start.select("side", F.col("id").cast("int").alias("id"), *[F.col(c).alias(f"own_{c}") for c in has])
+    both = own.join(given, ["side", "id"], "left")
+    return both.select("side", "id", *[(F.coalesce(f"own_{c}", c).alias(c) if c in has else F.col(c)) for c in ("v", "b", "g", "gb")])
+
+
+def train(pairs: DataFrame, ids: DataFrame, options: TrainOptions, folder: str, resume: bool = False, start: DataFrame | None = None) -> DataFrame:
+    """Final parameters; checkpoints of each kept iteration, the initial one (0) too, and costs are in folder.
+
+    resume: go on from the last checkpoint. start: parameters, and accumulators, to begin with, as
+    parameter files give them. costs() reads the mean cost of each iteration.
+    """
     spark: SparkSession = pairs.sparkSession
     kept = Checkpoints(spark, folder)
     begin = kept.last() if resume else 0
-    params = kept.load(begin) if begin else kept.save(0, initial(ids, options))
+    params = kept.load(begin) if begin else kept.save(0, started(ids, options, start))
+    records, n, options = _records(pairs, options, kept.table)
     for k in range(begin + 1, options.iterations + 1):
         if options.mode == "exact":
-            params = exact_epoch(pairs, params, options)
+            params, total = _split(kept.scratch(exact_epoch(records, params, options)))
         elif options.mode == "fullbatch":
-            params = fullbatch_step(pairs, params, options)
+            total = (cost(records, params, options).first().cost or 0.0) * records.count()
+            params = fullbatch_step(records, params, options)
         else:
-            params = stratified_epoch(pairs, params, options, kept.scratch)
+            params, total = stratified_epoch(records, params, options, kept.scratch)
         params = kept.save(k, params)
+        spark.createDataFrame([(k, total / n if n else 0.0)], "iteration int, cost double").coalesce(1).write.mode("overwrite").parquet(f"{folder}/costs/k{k:03d}")
         kept.prune(k, options.checkpoint_every)
+    kept.drop_tables()
     return params
+
+
+def costs(spark: SparkSession, folder: str) -> DataFrame:
+    """iteration, cost: the mean over all pairs, as met during the iteration; in full-batch mode before its step."""
+    return spark.read.parquet(f"{folder.rstrip('/')}/costs/*").orderBy("iteration")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +16,10 @@ from wordloom.operators import vectors as wv
 from wordloom.operators import vocab as vo
 from wordloom.plans import training as tr
 from wordloom.sources import text as st
+from wordloom.sources.tables import shared_dir, spread, written
 
 MIN_COUNT = 5
-SIZE = 4  # of vectors in training queries
+SIZE = 50  # of vectors
 TRAIN = TrainOptions(vector_size=SIZE, iterations=2, x_max=10.0, blocks=2)
 
 
@@ -27,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def counts(spark, sf_dir):
@@ -87,7 +88,14 @@ def vocab_lines(spark, sf_dir):
 
 
 def encode_corpus(spark, sf_dir):
-    return ids(spark, sf_dir)
+    return ids(spark, sf_dir).select("doc_id", "line", "pos", "id")
+
+
+def cooccur_weighted_corpus(spark, sf_dir):
+    """Pairs of a corpus in which each document stands twice, for weight, with ids repeated: their lines stay apart."""
+    d = docs(spark, sf_dir)
+    twice = d.unionByName(d)
+    return co.cooccurrence(co.encoded(twice, vo.ranked(vo.limited(vo.word_counts(twice), VocabOptions(min_count=40)))), CooccurOptions(window_size=5))
 
 
 def corpus_weighting(spark, sf_dir):
@@ -204,19 +212,19 @@ def vector_arithmetic(spark, sf_dir):
 
 def neighbors(spark, sf_dir):
     u = _units(spark, sf_dir)
-    return wv.neighbors(u, u.where("id % 20 = 0").select(F.col("id").alias("query")), 10).select("query", "rank", "id")
+    return wv.neighbors(u, u.where("id % 20 = 0").select(F.col("id").alias("query")), 10).select("query", "rank", "id", F.round("similarity", 6).alias("similarity"))
 
 
 def neighbors_phrase(spark, sf_dir):
     u = _units(spark, sf_dir)
     heads = u.where("id % 20 = 0").select(F.col("id").alias("query"))
     terms = heads.select("query", F.explode(F.array(F.col("query"), F.col("query") + 1, F.col("query") + 2)).alias("id"))
-    return wv.best(u, wv.phrase_queries(u, terms), 10).select("query", "rank", "id")
+    return wv.best(u, wv.phrase_queries(u, terms), 10).select("query", "rank", "id", F.round("similarity", 6).alias("similarity"))
 
 
 def analogy_topn(spark, sf_dir):
     u = _units(spark, sf_dir)
-    return wv.best(u, wv.analogy_queries(u, _asked(spark, sf_dir), length_one=True), 10).select("query", "rank", "id")
+    return wv.best(u, wv.analogy_queries(u, _asked(spark, sf_dir), length_one=True), 10).select("query", "rank", "id", F.round("similarity", 6).alias("similarity"))
 
 
 def _predicted(spark, sf_dir):
@@ -244,29 +252,40 @@ def analogy_running_accuracy(spark, sf_dir):
 
 
 def _folder(spark) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared or tempfile.mkdtemp(prefix='wordloom-')}/train-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/train-{uuid.uuid4().hex}"
+
+
+#: Two steps of full batches: what SQL can follow. Other modes are tested in tests/test_training.py.
+FULL = replace(TRAIN, mode="fullbatch")
+
+
+def _trained(spark, sf_dir):
+    v, folder = written(vocab(spark, sf_dir, 20), "vocabulary"), _folder(spark)
+    return v, tr.train(pairs(spark, sf_dir, least=20, window_size=5), v.select("id"), FULL, folder), folder
 
 
 def train_vectors(spark, sf_dir):
-    v = vocab(spark, sf_dir, 20)
-    p = pairs(spark, sf_dir, least=20, window_size=5)
-    return wv.exported(tr.train(p, v.select("id"), TRAIN, _folder(spark)), v, 2)
+    """Word and context vectors after two iterations, by word and dimension."""
+    v, params, _ = _trained(spark, sf_dir)
+    flat = wv.exported(params, v, 3).select("id", "word", F.posexplode("v").alias("dim", "val"))
+    return flat.select("id", "word", "dim", F.round("val", 4).alias("val"))
+
+
+def train_costs(spark, sf_dir):
+    """Mean cost of each iteration, before its step."""
+    return tr.costs(spark, _trained(spark, sf_dir)[2]).select("iteration", F.round("cost", 4).alias("cost"))
 
 
 def checkpoint_list(spark, sf_dir):
     """Iterations in the folder after a run that keeps each one."""
-    v, folder = vocab(spark, sf_dir, 50), _folder(spark)
-    options = TrainOptions(vector_size=SIZE, iterations=2, x_max=10.0, blocks=1, checkpoint_every=1)
-    tr.train(pairs(spark, sf_dir, least=50, window_size=5), v.select("id"), options, folder)
+    v, folder = vocab(spark, sf_dir, 20), _folder(spark)
+    tr.train(pairs(spark, sf_dir, least=20, window_size=5), v.select("id"), replace(TRAIN, checkpoint_every=1), folder)
     return spark.createDataFrame([(k,) for k in tr.Checkpoints(spark, folder).list()], "iteration int")
 
 
 def resume_equivalence(spark, sf_dir):
     """Largest difference of parameters between two unbroken iterations and one resumed after the first."""
-    from dataclasses import replace
-
-    v, p, folder = vocab(spark, sf_dir, 50), pairs(spark, sf_dir, least=50, window_size=5), _folder(spark)
+    v, p, folder = written(vocab(spark, sf_dir, 20), "vocabulary"), written(pairs(spark, sf_dir, least=20, window_size=5), "pairs"), _folder(spark)
     whole = tr.train(p, v.select("id"), TRAIN, f"{folder}-a")
     tr.train(p, v.select("id"), replace(TRAIN, iterations=1), f"{folder}-b")
     again = tr.train(p, v.select("id"), TRAIN, f"{folder}-b", resume=True)
@@ -277,13 +296,20 @@ def resume_equivalence(spark, sf_dir):
 
 def stream_vocab_count(spark, sf_dir):
     """The batch query's rows by a stream over the documents table."""
-    from wordloom.streaming.vocab import count_to_table
+    from wordloom.streaming.vocab import count_to_table, latest
 
     # As a pattern, the path may be one file or a folder of files.
-    single = spark.readStream.schema(docs(spark, sf_dir).schema).parquet(f"{sf_dir}/documents.parque[t]")
-    name = f"words_{uuid.uuid4().hex}"
-    count_to_table(single, name, _folder(spark)).awaitTermination()
-    return spark.table(name).select("word", "n")
+    single = spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parque[t]")
+    folder = _folder(spark)
+    count_to_table(single, folder, f"{folder}-checkpoint").awaitTermination()
+    return latest(spark.read.parquet(folder))
+
+
+def vector_lookup(spark, sf_dir):
+    """Vectors of every word of the corpus: words out of the vocabulary get the unknown vector."""
+    v = wv.exported(_start(spark, sf_dir), vocab(spark, sf_dir, 20), 1)
+    found = wv.looked_up(v, counts(spark, sf_dir).select("word"), wv.unknown_vector(v))
+    return found.select("word", F.round(F.col("v")[0], 9).alias("first"), F.round(F.col("v")[SIZE - 1], 9).alias("last"))
 
 
 QUERIES = {
@@ -292,7 +318,7 @@ QUERIES = {
         tokenize, corpus_stats, vocab_count, vocab_min_count, vocab_max, vocab_max_min, vocab_report, vocab_rank, unk_guard, vocab_lines, encode_corpus, corpus_weighting,
         cooccur_sym, cooccur_asym, cooccur_unweighted, cooccur_w5, cooccur_w10, cooccur_partial_final, shuffle_content, pair_weights, init_params, train_cost, adagrad_step,
         unk_vector, vector_export_text, normalize_vectors, vector_arithmetic, neighbors, neighbors_phrase, analogy_topn, analogy_predict, analogy_coverage, analogy_accuracy,
-        analogy_running_accuracy, train_vectors, checkpoint_list, resume_equivalence, stream_vocab_count,
+        analogy_running_accuracy, train_vectors, train_costs, checkpoint_list, resume_equivalence, stream_vocab_count, vector_lookup, cooccur_weighted_corpus,
     )
 } | {f"export_model{m}": _export(m) for m in range(4)}
 
@@ -327,13 +353,19 @@ def _params_sql(least=20):
     return f"params AS (SELECT side, id, dim, CAST({value} AS DOUBLE) AS val FROM (SELECT CAST(id AS BIGINT) AS id, word FROM vocab), (VALUES ('w', 0), ('c', 1)) s(side, sd), (SELECT CAST(unnest(range(0, {SIZE + 1})) AS INTEGER) AS dim))"
 
 
-_ERRORS = f"""{_pairs_sql(20, 5)}, {_params_sql()},
-er AS (SELECT word1, word2, any_value(p.val) AS x, sum(CASE WHEN w.dim = 0 THEN w.val + c.val ELSE w.val * c.val END) - ln(any_value(p.val)) AS diff
-  FROM pairs p JOIN params w ON w.side = 'w' AND w.id = word1 JOIN params c ON c.side = 'c' AND c.id = word2 AND c.dim = w.dim GROUP BY word1, word2),
-e AS (SELECT *, CASE WHEN x > 10 THEN 1.0 ELSE pow(x / 10, 0.75) END * diff AS fd FROM er)"""
-_STEP = f"""{_ERRORS},
-g AS (SELECT 'w' AS side, word1 AS id, dim, sum(CASE WHEN dim = 0 THEN fd ELSE greatest(least(fd * val, 100), -100) * {TRAIN.eta} END) AS t FROM e JOIN params c ON c.side = 'c' AND c.id = word2 GROUP BY ALL
-  UNION ALL SELECT 'c', word2, dim, sum(CASE WHEN dim = 0 THEN fd ELSE greatest(least(fd * val, 100), -100) * {TRAIN.eta} END) FROM e JOIN params w ON w.side = 'w' AND w.id = word1 GROUP BY ALL)"""
+def _step_sql(old: str, errors: str, grads: str, new: str) -> str:
+    """Errors at the parameters ``old`` (side, id, dim, val, acc), summed gradients, and the parameters ``new`` after the step."""
+    return f"""
+{errors}r AS (SELECT word1, word2, any_value(p.val) AS x, sum(CASE WHEN w.dim = 0 THEN w.val + c.val ELSE w.val * c.val END) - ln(any_value(p.val)) AS diff
+  FROM pairs p JOIN {old} w ON w.side = 'w' AND w.id = word1 JOIN {old} c ON c.side = 'c' AND c.id = word2 AND c.dim = w.dim GROUP BY word1, word2),
+{errors} AS (SELECT *, CASE WHEN x > 10 THEN 1.0 ELSE pow(x / 10, 0.75) END * diff AS fd FROM {errors}r),
+{grads} AS (SELECT 'w' AS side, word1 AS id, dim, sum(CASE WHEN dim = 0 THEN fd ELSE greatest(least(fd * val, 100), -100) * {TRAIN.eta} END) AS t FROM {errors} JOIN {old} c ON c.side = 'c' AND c.id = word2 GROUP BY ALL
+  UNION ALL SELECT 'c', word2, dim, sum(CASE WHEN dim = 0 THEN fd ELSE greatest(least(fd * val, 100), -100) * {TRAIN.eta} END) FROM {errors} JOIN {old} w ON w.side = 'w' AND w.id = word1 GROUP BY ALL),
+{new} AS (SELECT side, id, dim, val - coalesce(t, 0) / sqrt(acc) AS val, acc + coalesce(t * t, 0) AS acc FROM {old} LEFT JOIN {grads} USING (side, id, dim))"""
+
+
+_FIRST = f"{_pairs_sql(20, 5)}, {_params_sql()}, p0 AS (SELECT *, 1.0::DOUBLE AS acc FROM params), {_step_sql('p0', 'e0', 'g0', 'p1')}"
+_BOTH = f"{_FIRST}, {_step_sql('p1', 'e1', 'g1', 'p2')}"
 
 
 def _export_sql(model):
@@ -355,7 +387,8 @@ k AS (SELECT * FROM q WHERE d <= (SELECT max(vec_id) FROM embeddings))"""
 _ANALOGY = f"""{_UNITS}, {_QUESTIONS},
 qv AS (SELECT seq, dim, sum(CASE WHEN u.id = a THEN -x ELSE x END) AS x FROM k JOIN u ON u.id IN (a, b, c) GROUP BY seq, dim),
 sc AS (SELECT qv.seq, u.id, sum(qv.x * u.x) AS s FROM qv JOIN u USING (dim) GROUP BY ALL),
-rk AS (SELECT sc.seq, sc.id, row_number() OVER (PARTITION BY sc.seq ORDER BY s DESC, sc.id) AS rank FROM sc JOIN k USING (seq) WHERE sc.id NOT IN (a, b, c)),
+qn AS (SELECT seq, sqrt(sum(x * x)) AS norm FROM qv GROUP BY seq),
+rk AS (SELECT sc.seq, sc.id, s, row_number() OVER (PARTITION BY sc.seq ORDER BY round(s, 12) DESC, sc.id) AS rank FROM sc JOIN k USING (seq) WHERE sc.id NOT IN (a, b, c)),
 pr AS (SELECT category, k.seq, CAST(d AS INTEGER) AS expected, rk.id AS predicted, d = rk.id AS correct FROM k JOIN rk ON rk.seq = k.seq AND rank = 1)"""
 _PER = "SELECT category, count(*) AS seen, count(*) FILTER (correct) AS correct FROM pr GROUP BY category"
 _REPORT = """SELECT CASE WHEN grouping(category) = 0 THEN 'category' WHEN grouping(kind) = 0 THEN 'kind' ELSE 'all' END AS level, coalesce(category, kind, 'all') AS name,
@@ -387,19 +420,30 @@ al AS (SELECT word, 2 * n AS n FROM counts UNION ALL SELECT word, count(*) FROM
     "shuffle_content": f"WITH {_pairs_sql(20, 5)} SELECT * FROM pairs",
     "pair_weights": f"WITH {_pairs_sql(20, 5)} SELECT word1, word2, round(CASE WHEN val > 10 THEN 1.0 ELSE pow(val / 10, 0.75) END, 6) AS weight, round(ln(val), 6) AS target FROM pairs",
     "init_params": f"WITH {_vocab_sql(20)}, {_params_sql()} SELECT side, CAST(id AS INTEGER) AS id, dim, round(val, 9) AS val FROM params",
-    "train_cost": f"WITH {_ERRORS} SELECT round(sum(0.5 * fd * diff) / (SELECT count(*) FROM pairs), 6) AS cost FROM e",
-    "adagrad_step": f"WITH {_STEP} SELECT p.side, CAST(p.id AS INTEGER) AS id, p.dim, round(val - coalesce(t, 0), 5) AS val, round(1 + coalesce(t * t, 0), 5) AS acc FROM params p LEFT JOIN g USING (side, id, dim)",
+    "train_cost": f"WITH {_FIRST} SELECT round(sum(0.5 * fd * diff) / (SELECT count(*) FROM pairs), 6) AS cost FROM e0",
+    "adagrad_step": f"WITH {_FIRST} SELECT side, CAST(id AS INTEGER) AS id, dim, round(val, 5) + 0.0 AS val, round(acc, 5) AS acc FROM p1",
+    "train_vectors": f"""WITH {_BOTH} SELECT CAST(id AS INTEGER) AS id, word, CAST(CASE WHEN side = 'w' THEN dim - 1 ELSE dim - 1 + {SIZE} END AS INTEGER) AS dim, round(val, 4) + 0.0 AS val
+FROM p2 JOIN vocab USING (id) WHERE dim > 0""",
+    "train_costs": f"""WITH {_BOTH} SELECT 1 AS iteration, round(sum(0.5 * fd * diff) / (SELECT count(*) FROM pairs), 4) AS cost FROM e0
+UNION ALL SELECT 2, round(sum(0.5 * fd * diff) / (SELECT count(*) FROM pairs), 4) FROM e1""",
+    "checkpoint_list": "SELECT CAST(unnest([0, 1, 2]) AS INTEGER) AS iteration",
+    "resume_equivalence": f"WITH {_vocab_sql(20)} SELECT 0.0::DOUBLE AS vector_gap, 0.0::DOUBLE AS accumulator_gap, 2 * count(*) AS rows FROM vocab",
+    "vector_lookup": f"""WITH {_vocab_sql(20)}, {_params_sql()}, x AS (SELECT id, dim, val FROM params WHERE side = 'w' AND dim IN (1, {SIZE})),
+un AS (SELECT dim, avg(val) AS val FROM x WHERE id > (SELECT max(id) FROM x) - 100 GROUP BY dim), al AS (SELECT word, dim, coalesce(x.val, un.val) AS val FROM counts CROSS JOIN un LEFT JOIN vocab USING (word) LEFT JOIN x USING (id, dim))
+SELECT word, round(max(val) FILTER (dim = 1), 9) AS first, round(max(val) FILTER (dim = {SIZE}), 9) AS last FROM al GROUP BY word""",
+    "cooccur_weighted_corpus": f"WITH {_pairs_sql(20, 5)} SELECT word1, word2, 2 * val AS val FROM pairs",
     "unk_vector": f"WITH {_export_sql(0)} SELECT CAST(dim AS INTEGER) AS dim, round(avg(val), 9) AS val FROM x WHERE id > (SELECT max(id) FROM x) - 100 GROUP BY dim",
     "vector_export_text": f"""WITH {_export_sql(2)}, ls AS (SELECT id, string_agg(printf('%.6f', val), ' ' ORDER BY dim) AS f FROM x GROUP BY id)
 SELECT CAST(id AS BIGINT) AS line_no, word || ' ' || f AS value FROM ls JOIN vocab USING (id) UNION ALL SELECT 0, (SELECT count(*) FROM vocab) || ' {SIZE}'""",
     "normalize_vectors": f"WITH {_UNITS} SELECT id, CAST(dim AS INTEGER) AS dim, round(x, 6) AS val FROM u",
     "vector_arithmetic": f"WITH {_ANALOGY} SELECT seq AS query, CAST(dim AS INTEGER) AS dim, round(x, 6) AS val FROM qv",
     "neighbors": f"""WITH {_UNITS}, sc AS (SELECT a.id AS query, b.id, sum(a.x * b.x) AS s FROM u a JOIN u b USING (dim) WHERE a.id % 20 = 0 AND a.id <> b.id GROUP BY ALL)
-SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY s DESC, id) AS INTEGER) AS rank, id FROM sc QUALIFY rank <= 10""",
+SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY round(s, 12) DESC, id) AS INTEGER) AS rank, id, round(s, 6) AS similarity FROM sc QUALIFY rank <= 10""",
     "neighbors_phrase": f"""WITH {_UNITS}, p AS (SELECT a.id AS query, u.dim, sum(u.x) AS x FROM (SELECT DISTINCT id FROM u WHERE id % 20 = 0) a JOIN u ON u.id BETWEEN a.id AND a.id + 2 GROUP BY ALL),
-sc AS (SELECT query, b.id, sum(p.x * b.x) AS s FROM p JOIN u b USING (dim) WHERE b.id NOT BETWEEN query AND query + 2 GROUP BY ALL)
-SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY s DESC, id) AS INTEGER) AS rank, id FROM sc QUALIFY rank <= 10""",
-    "analogy_topn": f"WITH {_ANALOGY} SELECT seq AS query, CAST(rank AS INTEGER) AS rank, id FROM rk WHERE rank <= 10",
+p1 AS (SELECT query, dim, x / sqrt(sum(x * x) OVER (PARTITION BY query)) AS x FROM p),
+sc AS (SELECT query, b.id, sum(p1.x * b.x) AS s FROM p1 JOIN u b USING (dim) WHERE b.id NOT BETWEEN query AND query + 2 GROUP BY ALL)
+SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY round(s, 12) DESC, id) AS INTEGER) AS rank, id, round(s, 6) AS similarity FROM sc QUALIFY rank <= 10""",
+    "analogy_topn": f"WITH {_ANALOGY} SELECT seq AS query, CAST(rank AS INTEGER) AS rank, id, round(s / norm, 6) AS similarity FROM rk JOIN qn USING (seq) WHERE rank <= 10",
     "analogy_predict": f"WITH {_ANALOGY} SELECT * FROM pr",
     "analogy_coverage": f"WITH {_QUESTIONS} SELECT category, count(*) AS total, count(*) FILTER (d <= (SELECT max(vec_id) FROM embeddings)) AS seen FROM q GROUP BY category",
     "analogy_accuracy": f"WITH {_ANALOGY} {_REPORT}",

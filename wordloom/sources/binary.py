@@ -66,6 +66,10 @@ class _Done(WriterCommitMessage):
 
 
 class _PairWriter(DataSourceWriter):
+    @staticmethod
+    def packed(r) -> bytes:
+        return RECORD.pack(r[0], r[1], r[2])
+
     def __init__(self, path: str, overwrite: bool):
         self.path, self.overwrite, self.job = path, overwrite, uuid.uuid4().hex
 
@@ -79,7 +83,7 @@ class _PairWriter(DataSourceWriter):
         with system.open_output_stream(name) as f:
             held = []
             for r in rows:
-                held.append(RECORD.pack(r[0], r[1], r[2]))
+                held.append(self.packed(r))
                 if len(held) == 65536:
                     f.write(b"".join(held))
                     held = []
@@ -117,29 +121,50 @@ class PairRecords(DataSource):
         return _PairWriter(self.options["path"], overwrite)
 
 
+class _Shard(_Range):
+    """A range of a file, and where it stands in the whole."""
+
+    def __init__(self, path: str, begin: int, size: int, at: int, half: int):
+        super().__init__(path, begin, size)
+        self.at, self.half = at, half
+
+
 class _ParameterReader(DataSourceReader):
+    """The file, or the files of a folder in the order of their names, as one sequence of rows."""
+
     def __init__(self, path: str, size: int):
         self.path, self.row = path, 8 * (size + 1)
 
     def partitions(self) -> list[_Range]:
-        ((path, size),) = _files(self.path)
-        if size % (2 * self.row):
-            raise ValueError(f"{path}: not the rows of two sides")
-        step = max(1, SPLIT // self.row) * self.row
-        return [_Range(path, k, min(step, size - k)) for k in range(0, size, step)] or [_Range("", 0, 0)]
-
-    def read(self, partition: _Range) -> Iterator[tuple]:
+        files = _files(self.path)
+        whole = sum(size for _, size in files)
+        if whole % (2 * self.row) or any(size % self.row for _, size in files):
+            raise ValueError(f"{self.path}: not the rows of two sides")
+        step, out, at = max(1, SPLIT // self.row) * self.row, [], 0
+        for path, size in files:
+            out += [_Shard(path, k, min(step, size - k), at + k, whole // 2) for k in range(0, size, step)]
+            at += size
+        return out or [_Shard("", 0, 0, 0, 0)]
+
+    def read(self, partition: _Shard) -> Iterator[tuple]:
         if not partition.size:
             return
-        half = _files(self.path)[0][1] // 2
         data = _read(partition.path, partition.begin, partition.size)
         for k in range(0, len(data), self.row):
             values = struct.unpack_from(f"={self.row // 8}d", data, k)
-            at = partition.begin + k
-            side, at = ("w", at) if at < half else ("c", at - half)
+            at = partition.at + k
+            side, at = ("w", at) if at < partition.half else ("c", at - partition.half)
             yield side, at // self.row + 1, list(values[:-1]), values[-1]
 
 
+class _ParameterWriter(_PairWriter):
+    """Rows (side, id, v, b) come sorted; a task's file has the place of its partition."""
+
+    @staticmethod
+    def packed(r) -> bytes:
+        return struct.pack(f"={len(r[2]) + 1}d", *r[2], r[3])
+
+
 class ParameterFile(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -151,6 +176,9 @@ class ParameterFile(DataSource):
     def reader(self, schema) -> _ParameterReader:
         return _ParameterReader(self.options["path"], int(self.options["size"]))
 
+    def writer(self, schema, overwrite: bool) -> _PairWriter:
+        return _ParameterWriter(self.options["path"], overwrite)
+
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(PairRecords)
@@ -158,16 +186,23 @@ def register(spark: SparkSession) -> None:
 
 
 def write_parameters(params, path: str, columns: tuple[str, str] = ("v", "b")) -> None:
-    """A parameter_file of all rows, word side first, by id; columns (g, gb) writes the accumulators.
+    """A folder of parameter_file parts: all rows, word side first, by id; columns (g, gb) writes the accumulators.
 
-    One file is the format's only form: rows stream through the driver one partition at a time.
+    The parts, in the order of their names, are the format's one file cut at rows; tasks write them, so
+    nothing passes through the driver. joined() makes the one file.
     """
     v, b = columns
-    rows = params.selectExpr("if(side = 'w', 0, 1) as s", "id", f"{v} as v", f"{b} as b").orderBy("s", "id")
+    rows = params.selectExpr("side", "id", f"{v} as v", f"{b} as b", "if(side = 'w', 0, 1) as s")
+    rows.repartitionByRange("s", "id").sortWithinPartitions("s", "id").select("side", "id", "v", "b").write.format("parameter_file").mode("append").save(path)
+
+
+def joined(folder: str, path: str) -> None:
+    """The parts of a folder as one file, copied a block at a time."""
     system, inner = pafs.FileSystem.from_uri(path)
-    with system.open_output_stream(inner) as f:
-        for r in rows.toLocalIterator():
-            f.write(struct.pack(f"={len(r.v) + 1}d", *r.v, r.b))
+    with system.open_output_stream(inner) as out:
+        for part, size in _files(folder):
+            for k in range(0, size, SPLIT):
+                out.write(_read(part, k, min(SPLIT, size - k)))
 
 
-__all__ = ["PairRecords", "ParameterFile", "register", "write_parameters"]
+__all__ = ["PairRecords", "ParameterFile", "joined", "register", "write_parameters"]

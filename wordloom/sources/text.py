@@ -25,6 +25,14 @@ def read_vocab(spark: SparkSession, path: str) -> DataFrame:
     return rows.select((F.col("at") + 1).cast("int").alias("id"), f[0].alias("word"), f[1].cast("long").alias("n"))
 
 
+def refuse_repeated(vocab: DataFrame) -> DataFrame:
+    """The vocabulary, or ValueError if a word stands in it twice: its ids couldn't be told apart."""
+    again = vocab.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("word").first()
+    if again is not None:
+        raise ValueError(f"the vocabulary has {again.word!r} more than once")
+    return vocab
+
+
 def vocab_lines(vocab: DataFrame) -> DataFrame:
     return vocab.orderBy("id").select(F.concat_ws(" ", "word", F.col("n").cast("string")).alias("value"))
 
@@ -46,7 +54,9 @@ def _line(word: Column, v: Column) -> Column:
 
 
 def vector_lines(vectors: DataFrame, unknown: DataFrame | None = None, header: bool = False) -> DataFrame:
-    """line_no, value: the lines in order; the header counts words without the unknown one."""
+    """line_no, value: the lines in order; the header counts words without the unknown one. A word <unk> of its own fails the job."""
+    own = F.when(F.col("word") == UNKNOWN, F.raise_error(F.lit(f"remove {UNKNOWN} from the vocabulary and try again"))).otherwise(F.col("word"))
+    vectors = vectors.withColumn("word", own)
     lines = vectors.select(F.col("id").cast("long").alias("line_no"), _line(F.col("word"), F.col("v")).alias("value"))
     if unknown is not None:
         lines = lines.unionByName(unknown.select(F.lit(2**62).alias("line_no"), _line(F.lit(UNKNOWN), F.col("v")).alias("value")))
@@ -56,6 +66,13 @@ def vector_lines(vectors: DataFrame, unknown: DataFrame | None = None, header: b
     return lines
 
 
+def accumulator_lines(params: DataFrame, vocab: DataFrame) -> DataFrame:
+    """line_no, value: of each word its word accumulators and their bias's, then its context accumulators and their bias's."""
+    side = lambda s: params.where(F.col("side") == s).select("id", F.concat("g", F.array("gb")).alias(s))
+    both = side("w").join(side("c"), "id").join(vocab.select("id", "word"), "id")
+    return both.select(F.col("id").cast("long").alias("line_no"), _line(F.col("word"), F.concat("w", "c")).alias("value"))
+
+
 def write_vectors(lines: DataFrame, path: str) -> None:
     lines.orderBy("line_no").select("value").coalesce(1).write.mode("overwrite").text(path)
 

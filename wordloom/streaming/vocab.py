@@ -13,6 +13,19 @@ def counted(stream: DataFrame, text_col: str = "text") -> DataFrame:
     return words(stream, text_col).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def count_to_table(stream: DataFrame, name: str, checkpoint: str, text_col: str = "text") -> StreamingQuery:
-    """Runs over what is there and stops; in memory, under the view ``name``."""
-    return counted(stream, text_col).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def count_to_table(stream: DataFrame, folder: str, checkpoint: str, text_col: str = "text") -> StreamingQuery:
+    """Runs over what is there and stops; each micro-batch writes all counts so far to folder/batch=NNN, from the executors.
+
+    A batch that is run again overwrites its own table, so the counts of each batch are there once.
+    """
+
+    def save(counts: DataFrame, batch: int) -> None:
+        counts.write.mode("overwrite").parquet(f"{folder}/batch={batch:06d}")
+
+    return counted(stream, text_col).writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(stream_counts: DataFrame) -> DataFrame:
+    """word, n of the last batch of the tables that count_to_table wrote, read from their folder."""
+    last = stream_counts.agg(F.max("batch").alias("last"))
+    return stream_counts.join(F.broadcast(last), F.col("batch") == F.col("last")).select("word", "n")
