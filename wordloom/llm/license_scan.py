@@ -120,13 +120,15 @@ class Scanner:
 
     def blocks(self, words: list[bytes], have: set[bytes]) -> list[tuple[int, int, int, float]]:
         """(template, start, end, containment) of every block that matches, start and end in words."""
-        if have.isdisjoint(self.order):
+        present = {self.order[w] for w in have.intersection(self.order)}
+        live = [(n, least, prefix, rare) for n, (least, prefix) in self.index.items() if (rare := present.intersection(prefix))]
+        if not live:
             return []
         places = [k for k, w in enumerate(words) if w in self.order]
         ranks = [self.order[words[k]] for k in places]
         found = []
-        for n, (least, prefix) in self.index.items():
-            for b in sorted({x for k in places for x in (k // n - 1, k // n) if x >= 0}):
+        for n, least, prefix, rare in live:  # only blocks that hold a word of some prefix
+            for b in sorted({x for k, r in zip(places, ranks, strict=True) if r in rare for x in (k // n - 1, k // n) if x >= 0}):
                 x, y = bisect_left(places, b * n), bisect_left(places, b * n + 2 * n)
                 self.seen["blocks"] += 1
                 if y - x < least:  # length
