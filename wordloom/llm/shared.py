@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests), a new one."""
+    """The folder named in spark.checkpoint.dir; where it is unset and all runs on this machine (tests), a new one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not path and current.isDefined():
         path = current.get()
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="wordloom-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
