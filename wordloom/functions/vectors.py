@@ -10,14 +10,6 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def dot_of(a: Column, b: Column, size: int) -> Column:
-    """dot of arrays of a known size: one generated expression instead of two loops over lambdas."""
-    total = F.lit(0.0)
-    for k in range(size):
-        total = total + a[k] * b[k]
-    return total
-
-
 def add(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x + y)
 

@@ -148,12 +148,17 @@ def init_params(spark, sf_dir):
     return flat.select("side", "id", "dim", F.round("val", 9).alias("val"))
 
 
+def _records(spark, sf_dir):
+    """The pair table, written: both sides of a step, or the sum and the count, read it."""
+    return written(pairs(spark, sf_dir, least=20, window_size=5), "pairs")
+
+
 def train_cost(spark, sf_dir):
-    return tr.cost(pairs(spark, sf_dir, least=20, window_size=5), _start(spark, sf_dir), TRAIN).select(F.round("cost", 6).alias("cost"))
+    return tr.cost(_records(spark, sf_dir), _start(spark, sf_dir), TRAIN).select(F.round("cost", 6).alias("cost"))
 
 
 def adagrad_step(spark, sf_dir):
-    p = tr.fullbatch_step(pairs(spark, sf_dir, least=20, window_size=5), _start(spark, sf_dir), TRAIN)
+    p = tr.fullbatch_step(_records(spark, sf_dir), _start(spark, sf_dir), TRAIN)
     flat = p.select("side", "id", F.posexplode(F.arrays_zip(F.concat(F.array("b"), "v").alias("val"), F.concat(F.array("gb"), "g").alias("acc"))).alias("dim", "x"))
     return flat.select("side", "id", "dim", F.round("x.val", 5).alias("val"), F.round("x.acc", 5).alias("acc"))
 
