@@ -128,6 +128,15 @@ def test_lm_scores(spark):
     assert lm_score.score_texts(frame(spark, [])).count() == 0
 
 
+def test_lm_packing():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 1000):
+        cells = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        assert (lm_score.unpacked_cells(lm_score.packed_cells(cells)) == cells).all()
+        logs = rng.random(n).astype("<f4")
+        assert (lm_score.unpacked(lm_score.packed(logs), "<f4") == logs).all()
+
+
 def test_lm_probabilities_sum_to_one():
     texts = [t.encode() for _, t in lm_rows()]
     cells, counts = np.unique(np.concatenate([lm_score.cells_of(lm_score.token_keys(t)) for t in texts]), return_counts=True)
@@ -136,9 +145,10 @@ def test_lm_probabilities_sum_to_one():
         b = lm_score.Bucket(cells, counts, 0)
         for b in lm_score.seated(cells, counts, 0, history):  # noqa: B020
             pass
-        x = np.array(b.sums())
-        n = lm_score.CLASSES
-        history.append(lm_score.Totals(x[:n], x[n : 2 * n], x[-4], x[-3], int(x[-2])))
+        at, x, y = b.sums()
+        sums = np.zeros((lm_score.CLASSES + 2, 2))
+        sums[at] = np.column_stack([x, y])
+        history.append(lm_score.totals_of(sums))
     model = lm_score.Model(cells, counts, 0, history)
     for context in (0, 5, lm_score.START):
         wanted = np.append(model.hashes, np.uint64(1 << 40)) | np.uint64(context)

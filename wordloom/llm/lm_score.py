@@ -1,20 +1,21 @@
 """LM scoring by a hierarchical Pitman-Yor model of words, with Chinese-restaurant seating.
 
-A token is drawn in the restaurant of its context, the class of the token before it (of CLASSES
-classes: short words by themselves, longer ones by their end). All context restaurants have one
-parent, the restaurant of single tokens, whose own base is uniform over the V known tokens and one
+A token is drawn in the restaurant of its context, the word before it: words are hashed to CLASSES
+restaurants, so words that are one class share theirs. All context restaurants have one parent, the restaurant of single tokens, whose own base is uniform over the V known tokens and one
 unknown. A cell is a dish (token) in a context restaurant: c customers at t tables; each table is a
 customer of that dish in the parent. One Gibbs step takes all customers of a dish out of a
 restaurant and seats them again one by one, given the seating of everyone else; parallel buckets of
 dishes use the restaurants' totals of the sweep before. Predictive probabilities are averaged over
 the last SAMPLES sweeps.
 
-A token's key is a 59-bit hash with its class in the low 5 bits; a cell's key is that hash with the
+A token's key is a 48-bit hash with its class in the low 16 bits; a cell's key is that hash with the
 context in the low bits, so a sorted array of cells has the cells of a token side by side. Cells are
-dealt by their first bits to buckets and travel as packed arrays, one row for many cells:
+dealt by their first bits to buckets and travel as packed arrays of differences, one row for many
+cells: within a token a cell takes about two bytes.
 
 1. scan: each task counts its cells and sends each bucket one block of them (shuffle by bucket);
-2. buckets are merged and written; SWEEPS jobs over them exchange CLASSES + 1 totals with the driver;
+2. buckets are merged and written; SWEEPS jobs over them exchange the totals of the restaurants, of
+   which there are CLASSES and one at every size, with the driver;
 3. documents are dealt into blocks; a block asks each bucket once for its distinct cells, gets
    probabilities in the same order, and scores its documents (shuffles by bucket and by block).
 
@@ -28,18 +29,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm.shared import text_of, written
 
-CLASSES = 32  # the last is the start of a text
+CLASSES = 1 << 16  # the last is the start of a text
 START = CLASSES - 1
 LOW = np.uint64(CLASSES - 1)
 SWEEPS, SAMPLES = 3, 2
 DISCOUNT, STRENGTH = 0.6, 5.0  # of context restaurants
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.7, 50.0
-BUCKET_BYTES, BLOCK_BYTES = 32 << 20, 16 << 20  # of text for each bucket of cells and block of documents
+BUCKET_BYTES, BLOCK_BYTES = 16 << 20, 16 << 20  # of text for each bucket of cells and block of documents
 FLUSH = 4_000_000  # tokens that a task counts at once
 CACHED = 400_000
 FOLDS = 5
@@ -52,7 +54,7 @@ class _Keys(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHED:
             self.clear()
-        group = xxhash.xxh3_64_intdigest(word if len(word) <= 4 else word[-2:], seed=7) % START
+        group = xxhash.xxh3_64_intdigest(word, seed=7) % START
         key = self[word] = xxhash.xxh3_64_intdigest(word) & ~(CLASSES - 1) | group
         return key
 
@@ -70,13 +72,32 @@ def token_keys(text: bytes) -> np.ndarray:
 
 
 def cells_of(keys: np.ndarray) -> np.ndarray:
-    """Cell keys of one text's tokens: hash of the token, class of the one before."""
+    """Cell keys of one text's tokens: hash of the token, class of the one before it."""
     before = np.empty_like(keys)
     before[0] = START
     before[1:] = keys[:-1] & LOW
     return keys & ~LOW | before
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Numbers, all first bytes before all second ones: those that are alike shrink."""
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
+
+
+def unpacked(data: bytes, kind: str) -> np.ndarray:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def packed_cells(cells: np.ndarray) -> bytes:
+    """Sorted keys, by their differences."""
+    return packed(np.diff(cells, prepend=np.uint64(0)))
+
+
+def unpacked_cells(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, "<u8"), dtype=np.uint64)
+
+
 def _slices(cells: np.ndarray, shift: int) -> Iterator[tuple[int, int, int]]:
     """(bucket, begin, end) of sorted cell keys."""
     bucket = (cells >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(cells), np.int64)
@@ -158,11 +179,12 @@ class Bucket:
 
     def __init__(self, cells: np.ndarray, counts: np.ndarray, number: int):
         self.cells, self.c, self.number = cells, counts.astype(np.float64), number
-        self.context = (cells & LOW).astype(np.int64)
+        self.context = (cells & LOW).astype(np.int32)
         hashes = cells & ~LOW
         self.first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(cells) else np.zeros(0, np.int64)
         self.hashes = hashes[self.first]
-        self.word = np.repeat(np.arange(len(self.first)), np.diff(np.append(self.first, len(cells))))
+        self.word = np.repeat(np.arange(len(self.first), dtype=np.int32), np.diff(np.append(self.first, len(cells))))
+        self.more = np.flatnonzero(self.c > 1)  # a single customer has one table
         self.count = self._by_word(self.c)
         self.t = np.ones(len(cells))
         self.root_t = np.ones(len(self.first))
@@ -176,13 +198,16 @@ class Bucket:
 
     def sweep(self, totals: Totals, number: int) -> None:
         rng = np.random.default_rng((self.number, number))
-        p = self.root(totals)
-        weight = (STRENGTH + DISCOUNT * totals.tables)[self.context] * p[self.word]
-        self.t = seat(self.c, weight, DISCOUNT, rng)
+        p, more = self.root(totals), self.more
+        weight = (STRENGTH + DISCOUNT * totals.tables)[self.context[more]] * p[self.word[more]]
+        self.t[more] = seat(self.c[more], weight, DISCOUNT, rng)
         self.root_t = seat(self._by_word(self.t), np.full(len(self.first), totals.root_new()), ROOT_DISCOUNT, rng)
 
-    def sums(self) -> list[float]:
-        return [*np.bincount(self.context, self.c, CLASSES), *np.bincount(self.context, self.t, CLASSES), self.t.sum(), self.root_t.sum(), len(self.first), self.c.sum()]
+    def sums(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of restaurants with their customers and tables; then at CLASSES the parent's, at CLASSES + 1 the tokens, distinct and all."""
+        customers, tables = np.bincount(self.context, self.c, CLASSES), np.bincount(self.context, self.t, CLASSES)
+        at = np.flatnonzero(customers)
+        return np.append(at, [CLASSES, CLASSES + 1]), np.append(customers[at], [self.t.sum(), len(self.first)]), np.append(tables[at], [self.root_t.sum(), self.c.sum()])
 
 
 def seated(cells: np.ndarray, counts: np.ndarray, number: int, history: list[Totals]) -> Iterator[Bucket]:
@@ -202,7 +227,7 @@ def _scan(docs: DataFrame, shift: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             cells, counts = np.unique(np.concatenate(held), return_counts=True)
             counts = counts.astype("<u8")
-            rows = [(b, cells[x:y].tobytes(), counts[x:y].tobytes()) for b, x, y in _slices(cells, shift)]
+            rows = [(b, packed_cells(cells[x:y]), packed(counts[x:y])) for b, x, y in _slices(cells, shift)]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["bucket", "cells", "counts"])
 
         for batch in batches:
@@ -222,12 +247,12 @@ def _merged(blocks: DataFrame) -> DataFrame:
     """bucket, cells, counts: one row for each bucket."""
 
     def join(found: list[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
-        cells = np.concatenate([np.frombuffer(x, np.uint64) for x, _ in found])
-        counts = np.concatenate([np.frombuffer(y, "<u8") for _, y in found])
+        cells = np.concatenate([unpacked_cells(x) for x, _ in found])
+        counts = np.concatenate([unpacked(y, "<u8") for _, y in found])
         order = np.argsort(cells, kind="stable")
         cells, counts = cells[order], counts[order]
         first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
-        return cells[first].tobytes(), np.add.reduceat(counts, first).astype("<u8").tobytes()
+        return packed_cells(cells[first]), packed(np.add.reduceat(counts, first).astype("<u8"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, found = None, []
@@ -251,31 +276,34 @@ def _row(bucket: int, *data: bytes) -> pa.RecordBatch:
 
 
 def _totals(cells: DataFrame, history: list[Totals]) -> np.ndarray:
-    """Sums over all buckets after the sweeps of history: 2 * CLASSES + 4 numbers."""
+    """Sums over all buckets after the sweeps of history: two columns of CLASSES + 2 numbers, as in Bucket.sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b, x, y in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                own = Bucket(np.frombuffer(x, np.uint64), np.frombuffer(y, "<u8"), b)
+                own = Bucket(unpacked_cells(x), unpacked(y, "<u8"), b)
                 for own in seated(own.cells, own.c, b, history):  # noqa: B020
                     pass
-                sums = own.sums()
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array(sums, pa.float64())], names=["at", "x"])
+                at, customers, tables = own.sums()
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(customers, pa.float64()), pa.array(tables, pa.float64())], names=["at", "x", "y"])
 
-    rows = cells.mapInArrow(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
-    out = np.zeros(2 * CLASSES + 4)
-    for r in rows:
-        out[r.at] = r.x
+    rows = cells.mapInArrow(run, "at int, x double, y double").groupBy("at").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).toArrow()
+    out = np.zeros((CLASSES + 2, 2))
+    out[rows.column("at").to_numpy()] = np.column_stack([rows.column("x").to_numpy(), rows.column("y").to_numpy()])
     return out
 
 
+def totals_of(sums: np.ndarray) -> Totals:
+    return Totals(sums[:CLASSES, 0], sums[:CLASSES, 1], sums[CLASSES, 0], sums[CLASSES, 1], int(sums[CLASSES + 1, 0]))
+
+
 def learn(cells: DataFrame) -> tuple[list[Totals], int, int]:
     """Totals before each sweep and after the last one; training tokens, distinct ones."""
     history: list[Totals] = []
     for _ in range(SWEEPS + 1):
-        x = _totals(cells, history)
-        history.append(Totals(x[:CLASSES], x[CLASSES : 2 * CLASSES], x[-4], x[-3], int(x[-2])))
-    return history, int(x[-1]), int(x[-2])
+        sums = _totals(cells, history)
+        history.append(totals_of(sums))
+    return history, int(sums[CLASSES + 1, 1]), int(sums[CLASSES + 1, 0])
 
 
 class Model:
@@ -312,7 +340,7 @@ def _find(where: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _asked(table: pa.Table, shift: int) -> pa.Table:
     """A block's distinct cells, a row for each bucket."""
     cells = _distinct([cells_of(token_keys(x)) for x in table.column("text").to_pylist()])
-    rows = [(table.column("block")[0].as_py(), b, cells[x:y].tobytes()) for b, x, y in _slices(cells, shift)]
+    rows = [(table.column("block")[0].as_py(), b, packed_cells(cells[x:y])) for b, x, y in _slices(cells, shift)]
     return pa.table([pa.array(c) for c in zip(*rows, strict=True)], names=["block", "bucket", "cells"])
 
 
@@ -329,14 +357,14 @@ def _answered(asked: DataFrame, cells: DataFrame, history: list[Totals]) -> Data
         at, model = None, None
         for batch in batches:
             for bucket, block, x, y in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                found = np.frombuffer(x, np.uint64)
+                found = unpacked_cells(x)
                 if bucket != at:  # a bucket without a model row has no trained cell
-                    at, own = bucket, (found, np.frombuffer(y, "<u8")) if block == -1 else (np.zeros(0, np.uint64), np.zeros(0, "<u8"))
+                    at, own = bucket, (found, unpacked(y, "<u8")) if block == -1 else (np.zeros(0, np.uint64), np.zeros(0, "<u8"))
                     model = Model(*own, bucket, history)
                 if block != -1:
                     logs, counts = model.answer(found)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([block], pa.int64()), pa.array([bucket], pa.int64()), pa.array([logs.astype("<f4").tobytes()], pa.binary()), pa.array([counts.astype("<u4").tobytes()], pa.binary())],
+                        [pa.array([block], pa.int64()), pa.array([bucket], pa.int64()), pa.array([packed(logs.astype("<f4"))], pa.binary()), pa.array([packed(counts.astype("<u8"))], pa.binary())],
                         names=["block", "bucket", "logs", "counts"],
                     )
 
@@ -346,17 +374,18 @@ def _answered(asked: DataFrame, cells: DataFrame, history: list[Totals]) -> Data
 
 def _scored(docs: pa.Table, answers: pa.Table, n: int, known: int) -> pa.Table:
     parts = [cells_of(token_keys(x)) for x in docs.column("text").to_pylist()]
-    cells = _distinct(parts)
+    length = np.array([len(x) for x in parts])
+    cells, at = np.unique(np.concatenate(parts), return_inverse=True)
     order = np.argsort(answers.column("bucket").to_numpy())
-    logs = np.concatenate([np.frombuffer(answers.column("logs")[int(k)].as_py(), "<f4") for k in order]).astype(np.float64)
-    counts = np.concatenate([np.frombuffer(answers.column("counts")[int(k)].as_py(), "<u4") for k in order]).astype(np.float64)
+    logs = np.concatenate([unpacked(answers.column("logs")[int(k)].as_py(), "<f4") for k in order]).astype(np.float64)
+    counts = np.concatenate([unpacked(answers.column("counts")[int(k)].as_py(), "<u8") for k in order]).astype(np.float64)
+    if not len(cells) == len(logs) == len(counts):
+        raise ValueError("a block got answers to other cells than it asked for")
     base = np.log10((counts + 0.5) / (n + 0.5 * (known + 1)))
-    rows = []
-    for own in parts:
-        at = np.searchsorted(cells, own)
-        rows.append((len(own), int((counts[at] > 0).sum()), float(base[at].sum()), float(logs[at].sum())))
-    n_tokens, n_known, base_score, score = zip(*rows, strict=True)
-    return pa.table([docs.column("id"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base_score, pa.float64()), pa.array(score, pa.float64())], names=["id", "n_tokens", "n_known", "base_score", "score"])
+    begin = np.cumsum(length) - length  # a text has a token at least, its end
+    columns = [length, *(np.add.reduceat(x[at], begin) for x in ((counts > 0).astype(np.int64), base, logs))]
+    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+    return pa.table([docs.column("id"), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))], names=["id", "n_tokens", "n_known", "base_score", "score"])
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
