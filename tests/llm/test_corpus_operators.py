@@ -88,8 +88,14 @@ def test_seating():
         slow.append(t)
     assert abs(got.mean() - np.mean(slow)) < 0.15 and abs(got.std() - np.std(slow)) < 0.15
     assert lm_score.seat(np.array([1, 10**9]), np.array([1.0, 1e-6]), d, rng)[0] == 1
-    x = np.array([0.1, 1.0, 7.5, 1e6])
-    assert lm_score.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-9, abs=1e-8)
+    jumped = [lm_score._jumps(lm_score.STEPWISE + 600, 20.0, d, 30.0, rng) for _ in range(1500)]
+    stepped = []
+    for _ in range(1500):
+        t = 30.0
+        for n in range(lm_score.STEPWISE, lm_score.STEPWISE + 600):
+            t += rng.random() < 20.0 / (n - d * t + 20.0)
+        stepped.append(t)
+    assert abs(np.mean(jumped) - np.mean(stepped)) < 0.3 and abs(np.std(jumped) - np.std(stepped)) < 0.3
 
 
 def lm_rows():

@@ -24,6 +24,7 @@ Nothing is capped: what is sent grows with the number of distinct cells of tasks
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,7 +46,7 @@ BUCKET_BYTES, BLOCK_BYTES = 16 << 20, 16 << 20  # of text for each bucket of cel
 FLUSH = 4_000_000  # tokens that a task counts at once
 CACHED = 400_000
 FOLDS = 5
-STEPWISE = 32  # customers of a dish that are seated one at a time before jumps to the next new table
+STEPWISE = 4096  # customers of a dish that are seated one at a time before jumps to the next new table
 
 
 class _Keys(dict):
@@ -107,48 +108,52 @@ def _slices(cells: np.ndarray, shift: int) -> Iterator[tuple[int, int, int]]:
             yield int(bucket[a]), a, b
 
 
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """For x > 0; the series after eight steps up, good to 1e-10."""
-    shift = np.zeros_like(x)
-    for k in range(8):
-        shift += np.log(x + k)
-    y = x + 8
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
-
-
 def seat(c: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
     """Tables after c customers of a dish have sat down one by one, for each cell.
 
     a: (strength + discount * tables) * parent's probability: the weight of a new table beside c - d * t
-    of the ones taken. Between new tables the chance of none up to m customers is a ratio of gamma
-    functions, so the next new table is found by bisection and counts of any size cost their tables.
+    of the ones taken. The first customers of all cells sit down side by side; those of the few cells
+    with more follow by jumps.
     """
     order = np.argsort(-c, kind="stable")
     falling, weight, tables = -c[order], a[order], np.ones(len(c))
-    for k in range(1, STEPWISE):  # the first customers one at a time: most dishes have few
+    for k in range(1, STEPWISE):
         m = int(np.searchsorted(falling, -k, "left"))
         if not m:
             break
-        tables[:m] += rng.random(m) < weight[:m] / (k - d * tables[:m] + weight[:m])
+        tables[:m] += rng.random(m) * (k - d * tables[:m] + weight[:m]) < weight[:m]
+    for k in range(int(np.searchsorted(falling, -STEPWISE, "left"))):
+        tables[k] = _jumps(float(-falling[k]), float(weight[k]), d, float(tables[k]), rng)
     t = np.empty(len(c))
     t[order] = tables
-    n = np.minimum(c, STEPWISE).astype(np.float64)
-    live = np.flatnonzero(c > STEPWISE)
-    while len(live):
-        ca, aa, ta, na = c[live].astype(np.float64), a[live], t[live], n[live]
-        u = np.log(rng.random(len(live)))
-        here = log_gamma(na - d * ta + aa) - log_gamma(na - d * ta)
-        survive = lambda m: here + log_gamma(m - d * ta) - log_gamma(m - d * ta + aa)  # noqa: E731, B023
-        more = survive(ca) < u  # a new table comes before the last customer has sat down
-        live, ca, aa, ta, na, u, here = (x[more] for x in (live, ca, aa, ta, na, u, here))
-        lo, hi = na.copy(), ca.copy()
-        while len(lo) and (hi - lo > 1).any():
-            mid = np.floor((lo + hi) / 2)
-            below = survive(mid) < u
-            hi, lo = np.where(below, mid, hi), np.where(below, lo, mid)
-        t[live] = ta + 1
-        n[live] = hi
-        live = live[hi < ca]
+    return t
+
+
+def _jumps(c: float, a: float, d: float, t: float, rng: np.random.Generator) -> float:
+    """Tables of a cell of c customers, after STEPWISE of them have t.
+
+    The chance of no new table up to m customers is a ratio of gamma functions, so the next new table is
+    found by doubling and bisection, and counts of any size cost their tables.
+    """
+    n = float(STEPWISE)
+    while n < c:
+        u = math.log(1 - rng.random())
+        here = math.lgamma(n - d * t + a) - math.lgamma(n - d * t)
+        lo, step = n, 1.0
+        while True:
+            hi = min(c, lo + step)
+            if here + math.lgamma(hi - d * t) - math.lgamma(hi - d * t + a) < u:
+                break
+            if hi == c:
+                return t
+            lo, step = hi, 2 * step
+        while hi - lo > 1:
+            mid = (lo + hi) // 2
+            if here + math.lgamma(mid - d * t) - math.lgamma(mid - d * t + a) < u:
+                hi = mid
+            else:
+                lo = mid
+        t, n = t + 1, hi
     return t
 
 
