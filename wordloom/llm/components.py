@@ -2,37 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.llm.shared import written
 
 SALTS = 256
+PART_LINKS, LEAST_PARTS = 200_000, 8  # links of a partition: a small table isn't cut into hundreds of tasks
 
 
 def _both(links: DataFrame) -> DataFrame:
     return links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _with_least(near: DataFrame) -> DataFrame:
+def _with_least(near: DataFrame, parts: int) -> DataFrame:
     """a, b, m: m the smallest b of each a. It goes back by (a, salt), so a hub's links are neither one group nor one join key."""
-    salted = near.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt"))
-    part = salted.groupBy("a", "salt").agg(F.min("b").alias("m"))
-    least = part.groupBy("a").agg(F.min("m").alias("m"))
-    return salted.join(part.select("a", "salt").join(least, "a"), ["a", "salt"]).select("a", "b", "m")
+    salted = near.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt")).repartition(parts, "a", "salt")
+    # At most SALTS rows of an a meet in the window.
+    part = salted.groupBy("a", "salt").agg(F.min("b").alias("m")).repartition(parts, "a")
+    least = part.select("a", "salt", F.min("m").over(Window.partitionBy("a")).alias("m"))
+    return salted.join(least.repartition(parts, "a", "salt"), ["a", "salt"]).select("a", "b", "m")
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, parts: int) -> DataFrame:
     """Each node links its larger neighbours to the smallest of itself and all its neighbours."""
-    near = _with_least(_both(links)).where(F.col("b") > F.col("a"))
-    return near.select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b").distinct()
+    near = _with_least(_both(links), parts).where(F.col("b") > F.col("a"))
+    return near.select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b")
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, parts: int) -> DataFrame:
     """Each node links its smaller neighbours, and itself, to the smallest of them."""
-    down = _with_least(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"))
-    moved = down.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b")))
-    return moved.where("a <> b").distinct()
+    down = _with_least(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"), parts)
+    ends = F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")
+    return down.select(ends).select("e.a", "e.b").where("a <> b").repartition(parts, "a", "b").distinct()
 
 
 def _mark(links: DataFrame) -> tuple:
@@ -50,7 +52,8 @@ def components(links: DataFrame) -> DataFrame:
     now = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     seen = _mark(now)
     while seen[0]:
-        now = written(_small_star(_large_star(now)), "links")
+        parts = max(LEAST_PARTS, -(-seen[0] // PART_LINKS))
+        now = written(_small_star(_large_star(now, parts), parts), "links")
         if (mark := _mark(now)) == seen:
             break
         seen = mark
