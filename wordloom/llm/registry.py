@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wordloom.llm import bpe, chat_format, decontaminate, exact_dedup, license_scan, lm_score, near_dedup, secret_scan, token_files, toxicity
+from wordloom.llm import bpe, chat_format, decontaminate, exact_dedup, filter_audit, license_scan, lm_score, near_dedup, packing, secret_scan, token_files, toxicity, whitening
 from wordloom.llm.shared import documents
 
 
@@ -118,5 +118,39 @@ def op10_lm_score(spark, sf_dir):
     return lm_score.score_texts(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op3_bpe, op4_toxicity, op5_token_files, op6_decontaminate, op7_near_dedup, op8_chat_format, op9_secret_scan, op10_lm_score)}
-ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op6_decontaminate": OP6_SQL, "op7_near_dedup": OP7_SQL, "op8_chat_format": OP8_SQL}
+def op11_packing(spark, sf_dir):
+    return packing.digests(packing.pack(documents(spark, sf_dir), tokenizer_definition(), end_id=1))
+
+
+def op12_filter_audit(spark, sf_dir):
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 2 ELSE 0 END
+  + CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text) THEN 4 ELSE 0 END
+  + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS mask
+  FROM d LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY ALL),
+f AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(l, b)),
+o AS (SELECT p.l || q.l || r.l || s.l || t.l AS filter_order, [p.b, q.b, r.b, s.b, t.b] AS bits FROM f p, f q, f r, f s, f t WHERE p.b + q.b + r.b + s.b + t.b = 31 AND (p.b | q.b | r.b | s.b | t.b) = 31),
+st AS (SELECT filter_order, step, bits[step] AS f, list_sum(bits[1:step]) - bits[step] AS before FROM (SELECT *, unnest([1, 2, 3, 4, 5]) AS step FROM o)),
+al AS (SELECT part, filter_order, step, f,
+    sum(CASE WHEN mask & CAST(before + f AS INTEGER) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & f > 0 AND mask & CAST(before AS INTEGER) = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & f > 0 AND mask & CAST(before AS INTEGER) > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = f THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & f > 0 AND mask & CAST(before AS INTEGER) = 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & f > 0 AND mask & CAST(before AS INTEGER) = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM c, st GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM al
+"""
+
+
+def op13_whitening(spark, sf_dir):
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op3_bpe, op4_toxicity, op5_token_files, op6_decontaminate, op7_near_dedup, op8_chat_format, op9_secret_scan, op10_lm_score, op11_packing, op12_filter_audit, op13_whitening)}
+ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op6_decontaminate": OP6_SQL, "op7_near_dedup": OP7_SQL, "op8_chat_format": OP8_SQL, "op12_filter_audit": OP12_SQL}

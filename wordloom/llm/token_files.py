@@ -169,7 +169,7 @@ class Encoder:
 _LOADED: dict[int, Encoder] = {}
 
 
-def _loaded(definition: str) -> Encoder:
+def loaded(definition: str) -> Encoder:
     import os
 
     take_over("token_files", _LOADED.clear)
@@ -201,7 +201,7 @@ def write_tokens(docs: DataFrame, folder: str, definition: str, end_id: int | No
     ranged = rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq = _loaded(definition), TaskContext.get().partitionId(), 0
+        encoder, part, seq = loaded(definition), TaskContext.get().partitionId(), 0
         bits, tail = bits_for(max(encoder.size, (end_id or 0) + 1)), b"" if end_id is None else end_id.to_bytes(4, "little")
         keys, ends, data, n = [], [], [], 0
 
