@@ -119,7 +119,8 @@ def test_best_by_blocks_equals_brute_force(spark, monkeypatch):
     m = rng.integers(-2, 3, (90, 5)).astype(float)
     units = wv.normalized(vectors(spark, [(f"w{k}", v.tolist()) for k, v in enumerate(m)])).repartition(3)
     monkeypatch.setattr(wv, "SCORED", 200)
-    monkeypatch.setattr(wv, "SENT_BYTES", 1000)
+    monkeypatch.setattr(wv, "QUERY_BYTES", 200)
+    monkeypatch.setattr(wv, "UNIT_BYTES", 900)
     got = {}
     for r in wv.neighbors(units, spark.range(1, 91, 4).select(vec.F.col("id").cast("int").alias("query")), 7).collect():
         got.setdefault(r.query, []).append((r.rank, r.id, r.word))
@@ -187,6 +188,6 @@ def test_text_files(spark, tmp_path):
     params = spark.createDataFrame([(s, i, [0.0], 0.0, [i + 0.5], i + 0.25) for s in "wc" for i in (1, 2)], training.PARAMS)
     assert sorted(r.value for r in text.accumulator_lines(params, vocab).collect()) == ["a 2.500000 2.250000 2.500000 2.250000", "b 1.500000 1.250000 1.500000 1.250000"]
     text.write_vocab(vocab, f"{tmp_path}/w")
-    assert [tuple(r) for r in text.read_vocab(spark, f"{tmp_path}/w/part*").orderBy("id").collect()] == [(1, "b", 3), (2, "a", 1)]
+    assert [tuple(r) for r in text.read_vocab(spark, f"{tmp_path}/w").orderBy("id").collect()] == [(1, "b", 3), (2, "a", 1)]
     (tmp_path / "family.txt").write_text("boy girl brother sister\n")
     assert tuple(text.read_questions(spark, f"{tmp_path}/family.txt").first())[2:] == ("boy", "girl", "brother", "sister")

@@ -29,13 +29,23 @@ def truncated(word: Column) -> Column:
     return F.when(F.octet_length(word) <= MAX_BYTES, word).otherwise(cut)
 
 
-def tokens(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokens(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text", long: int | None = None) -> DataFrame:
     """doc_id, row, line, pos, word. A null text has no tokens; a line break is a context boundary.
 
-    row is the corpus row's own number, so rows with the same or no doc_id keep their lines apart.
+    row is the corpus row's own number, so rows with the same or no doc_id keep their lines apart. With
+    long, a column of that name tells the lines of more tokens than that.
     """
     lines = corpus.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.posexplode(lines_of(F.col(text_col))).alias("line", "t"))
-    return lines.select("doc_id", "row", "line", F.posexplode(words_of(F.col("t"))).alias("pos", "word"))
+    if long is None:
+        return lines.select("doc_id", "row", "line", F.posexplode(words_of(F.col("t"))).alias("pos", "word"))
+    cut = lines.select("doc_id", "row", "line", words_of(F.col("t")).alias("ws"))
+    return cut.select("doc_id", "row", "line", (F.size("ws") > long).alias("long"), F.posexplode("ws").alias("pos", "word"))
+
+
+def piece_tokens(pieces: DataFrame) -> DataFrame:
+    """row, line, block, pos (in the piece), word of the pieces of sources.ranges.read_pieces."""
+    text = F.replace(F.col("text"), F.lit("\r"), F.lit(""))
+    return pieces.select("row", "line", "block", F.posexplode(words_of(text)).alias("pos", "word"))
 
 
 def words(corpus: DataFrame, text_col: str = "text") -> DataFrame:

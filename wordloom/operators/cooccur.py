@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.config import CooccurOptions
-from wordloom.functions.text import tokens
+from wordloom.functions.text import piece_tokens, tokens
+from wordloom.operators.places import running
 from wordloom.sources.tables import written
 
 #: So many bytes of vocabulary may be broadcast; a larger one is joined by shuffling.
 SENT_BYTES = 128 << 20
 WORD_BYTES = 40  # that a row takes beside its word
+#: Positions of one line that are numbered in one task; a longer line is numbered in blocks.
+LONG = 1 << 16
+BLOCK_BYTES = 40  # of a block's row, where it is sent to all tasks
 #: Positions of one line that are joined in one group; neighbours across the border meet in the next one.
 BLOCK = 512
 
@@ -25,15 +29,42 @@ def sendable(known: DataFrame) -> DataFrame:
     return F.broadcast(known) if size <= SENT_BYTES else known
 
 
+def compacted(kept: DataFrame) -> DataFrame:
+    """The rows of kept (row, line, block, pos, id, long and others) with pos counted anew within the line, from 0.
+
+    Positions are numbered within a block of the line, so no line is one task, and written. What stands before a
+    block is a sum over the counts of the line's blocks: for lines of several blocks (long) only, by prefix sums
+    over all tasks.
+    """
+    within = F.row_number().over(Window.partitionBy("row", "line", "block").orderBy("pos")).cast("long") - 1
+    table = written(kept.withColumn("pos", within), "ids")
+    columns = [c for c in kept.columns if c not in ("block", "long")]
+    if table.where("long").isEmpty():
+        return table.select(*columns)
+    sizes = table.where("long").groupBy("row", "line", "block").agg(F.count(F.lit(1)).alias("size"))
+    upto = running(sizes, ["row", "line", "block"], "size", "upto")
+    firsts = upto.groupBy("row", "line").agg(F.min("upto").alias("first"))
+    base = written(upto.join(firsts, ["row", "line"]).select("row", "line", "block", (F.col("upto") - F.col("first")).alias("base")), "blocks")
+    small = base.count() * BLOCK_BYTES <= SENT_BYTES
+    found = table.join(F.broadcast(base) if small else base, ["row", "line", "block"], "left")
+    return found.withColumn("pos", F.col("pos") + F.coalesce("base", F.lit(0))).select(*columns)
+
+
 def encoded(corpus: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, row, line, pos, id. Words out of the vocabulary go first, so pos counts those that are left.
 
     Lines are those of a corpus row (row, see tokens), whatever its doc_id: repeated and null ids give
-    each row's lines by themselves. The vocabulary is computed once, into a table.
+    each row's lines by themselves. Jobs run while this is called: the vocabulary and the ids are computed
+    once, into tables.
     """
-    kept = tokens(corpus, id_col, text_col).join(sendable(vocab.select("word", "id")), "word")
-    pos = F.row_number().over(Window.partitionBy("row", "line").orderBy("pos")) - 1
-    return kept.select("doc_id", "row", "line", pos.alias("pos"), "id")
+    found = tokens(corpus, id_col, text_col, LONG).join(sendable(vocab.select("word", "id")), "word")
+    return compacted(found.select("doc_id", "row", "line", F.floor(F.col("pos") / LONG).alias("block"), "pos", "id", "long"))
+
+
+def encoded_pieces(pieces: DataFrame, vocab: DataFrame) -> DataFrame:
+    """row, line, pos, id of the pieces of sources.ranges.read_pieces, whatever the length of their lines."""
+    found = piece_tokens(pieces).join(sendable(vocab.select("word", "id")), "word")
+    return compacted(found.select("row", "line", "block", "pos", "id", F.lit(True).alias("long")))
 
 
 def unit_for(window: int) -> int:
@@ -45,9 +76,10 @@ def pair_sums(ids: DataFrame, options: CooccurOptions) -> DataFrame:
     """word1, word2, units: sums of whole numbers, so the order of addition can't matter.
 
     Symmetric: each unordered pair once, mirrored after the aggregation. A line is joined in blocks of
-    BLOCK positions, so neither work nor a task grows with the square of a line's length. ids: row, line, pos, id.
+    BLOCK positions, so neither work nor a task grows with the square of a line's length. ids: row, line, pos,
+    id; both sides of the join read them, so they should be a table, as encoded() gives it.
     """
-    ids = written(ids.select("row", "line", "pos", "id"), "ids")  # both sides of the join read it
+    ids = ids.select("row", "line", "pos", "id")
     w = options.window_size
     block = max(BLOCK, w)
     left = ids.select("row", "line", F.col("pos").alias("p1"), F.col("id").alias("i1"), F.explode(F.array_distinct(F.array(F.floor(F.col("pos") / block), F.floor((F.col("pos") + w) / block)))).alias("block"))

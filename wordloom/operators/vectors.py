@@ -1,26 +1,28 @@
 """Word vectors: export forms, the unknown vector, neighbours and analogies.
 
-Vectors are id, word, v (array of double). Queries travel as a matrix of counted bytes; the scored table
-is scanned once for each such matrix, multiplied batch by batch, and a task keeps only its best k of a
-query, so the scores of all words for all queries never exist as rows.
+Vectors are id, word, v (array of double). Queries and vectors are dealt to blocks of counted bytes, and a
+block of queries meets a block of vectors as one matrix product; of it only the best k of each query go on,
+so the scores of all words for all queries never exist as rows, and no side is held whole anywhere.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from wordloom.functions import vectors as vec
 from wordloom.sources.tables import written
 
 MODELS = ("word_and_bias", "word", "sum", "concat")  # export models 0 to 3
 RARE = 100  # so many last ranks make the unknown vector
-SENT_BYTES = 64 << 20  # of queries and their answers
+QUERY_BYTES = 8 << 20  # of a block of queries
+UNIT_BYTES = 32 << 20  # of a block of vectors
+LEAST_UNITS = 2000  # vectors that make a block of their own, for parallel work on small tables
+MOST_PARTS = 10_000
 SCORED = 4_000_000  # scores that a task holds at once
 DIGITS = 12
 
@@ -55,60 +57,68 @@ def normalized(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("v", vec.unit(F.col("v")))
 
 
-def _best_of(units: DataFrame, asked: np.ndarray, skip: list[list[int]], k: int) -> DataFrame:
-    """at, id, similarity: for each row of the matrix asked the k best of a task's units, one set of rows a task."""
-    hidden: dict[int, list[int]] = {}
-    for q, found in enumerate(skip):
-        for i in found:
-            hidden.setdefault(i, []).append(q)
+def _top(asked: np.ndarray, skip: list[np.ndarray], ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query's row, vector's row and similarity of each query's k best vectors, SCORED scores at a time. skip: query rows and ids that don't count for them."""
+    q, i, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     step = max(1, SCORED // max(1, len(asked)))
-    sent = units.sparkSession.sparkContext.broadcast((asked, hidden))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, hidden = sent.value
-        q, i, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        for batch in batches if len(asked) else ():
-            for a in range(0, batch.num_rows, step):
-                part = batch.slice(a, step)
-                own = part.column(0).to_numpy()
-                # Ties are told by id, so what products differ by in the last digits must not decide.
-                scores = np.round(asked @ part.column(1).flatten().to_numpy().reshape(len(own), -1).T, DIGITS)
-                for at in np.flatnonzero(np.isin(own, list(hidden))):
-                    scores[hidden[int(own[at])], at] = -np.inf
-                least = np.partition(scores, -k, axis=1)[:, -k] if len(own) > k else np.full(len(asked), -np.inf)
-                rows, columns = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
-                q, i, s = np.append(q, rows), np.append(i, own[columns]), np.append(s, scores[rows, columns])
-                order = np.lexsort((i, -s, q))
-                q, i, s = q[order], i[order], s[order]
-                first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
-                kept = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) < k
-                q, i, s = q[kept], i[kept], s[kept]
-        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(s)], names=["at", "id", "similarity"])
-
-    return units.select(F.col("id").cast("long"), "v").mapInArrow(run, "at long, id long, similarity double")
+    hidden_q, hidden_id = skip
+    for a in range(0, len(ids), step):
+        own = ids[a : a + step]
+        # Ties are told by id, so what products differ by in the last digits must not decide.
+        scores = np.round(asked @ vectors[a : a + step].T, DIGITS)
+        order = np.argsort(own, kind="stable")
+        at = np.minimum(np.searchsorted(own[order], hidden_id), len(own) - 1)
+        met = own[order][at] == hidden_id
+        scores[hidden_q[met], order[at[met]]] = -np.inf
+        least = np.partition(scores, -k, axis=1)[:, -k] if len(own) > k else np.full(len(asked), -np.inf)
+        rows, columns = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+        q, i, s = np.append(q, rows), np.append(i, a + columns), np.append(s, scores[rows, columns])
+        order = np.lexsort((ids[i], -s, q))
+        q, i, s = q[order], i[order], s[order]
+        first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
+        kept = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) < k
+        q, i, s = q[kept], i[kept], s[kept]
+    return q, i, s
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    lists = column.combine_chunks()
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
 
 def best(units: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query, rank, id, word, similarity for queries (query, qv, skip): the k best of all units, but for ids in skip.
 
-    Similarities are rounded to DIGITS decimals; ties go by id. Queries come to the driver in parts of
-    SENT_BYTES at most, each of which is multiplied with all units.
+    Similarities are rounded to DIGITS decimals; ties go by id. Queries are written once, and both sides counted,
+    while this is called. Each cell of a block of queries and one of units gives its best k a query; the final k are
+    taken by query.
     """
-    spark, units = units.sparkSession, units.where("v is not null")
-    queries = written(queries.select("query", "qv", "skip"), "queries")
-    size = queries.agg(F.sum(F.size("qv").cast("long") + 2 * k + F.size("skip"))).first()[0] or 0
-    parts = 8 * size // SENT_BYTES + 1
-    found = None
-    for p in range(parts):
-        rows = queries.where(F.pmod(F.xxhash64("qv"), F.lit(parts)) == p).collect()
-        if rows or p == 0:
-            asked = np.array([r.qv for r in rows], float) if rows else np.zeros((0, 1))
-            names = spark.createDataFrame([(n, r.query) for n, r in enumerate(rows)], StructType([StructField("at", LongType()), StructField("query", queries.schema["query"].dataType)]))
-            top = _best_of(units, asked, [r.skip for r in rows], k).join(F.broadcast(names), "at").drop("at")
-            found = top if found is None else found.unionByName(top)
+    spark, units = units.sparkSession, units.where("v is not null").select("id", "word", "v")
+    asked = written(queries.select("query", "qv", "skip"), "queries")
+    n, width = asked.agg(F.count(F.lit(1)), F.max(F.size("qv"))).first()
+    m, row = units.count(), 8 * (width or 1)
+    q_blocks = max(1, ceil(n * row / QUERY_BYTES))
+    u_blocks = max(1, ceil(m * row / UNIT_BYTES), min(spark.sparkContext.defaultParallelism, m // LEAST_UNITS))
+    each = lambda name, blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias(name)
+    block = lambda c, blocks: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    cells, cell = q_blocks * u_blocks, (F.col("qb") * u_blocks + F.col("ub")).alias("cell")
+    left = asked.select("query", "qv", "skip", block("query", q_blocks).alias("qb"), each("ub", u_blocks)).select(cell, "query", "qv", "skip")
+    right = units.select("id", "word", "v", block("id", u_blocks).alias("ub"), each("qb", q_blocks)).select(cell, F.col("id").cast("long").alias("id"), "word", "v")
+    schema = asked.select("query").withColumns({"id": F.lit(0).cast("long"), "word": F.lit(""), "similarity": F.lit(0.0)}).schema
+
+    def meet(questions: pa.Table, vectors: pa.Table) -> pa.Table:
+        if not questions.num_rows or not vectors.num_rows:
+            q, i, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        else:
+            skip = questions.column("skip").combine_chunks()
+            hidden = [np.repeat(np.arange(len(skip)), np.diff(skip.offsets.to_numpy())), skip.flatten().to_numpy(zero_copy_only=False)]
+            q, i, s = _top(_matrix(questions.column("qv")), hidden, vectors.column("id").to_numpy(), _matrix(vectors.column("v")), k)
+        return pa.Table.from_arrays([questions.column("query").take(pa.array(q)), vectors.column("id").take(pa.array(i)), vectors.column("word").take(pa.array(i)), pa.array(s)], names=["query", "id", "word", "similarity"])
+
+    parts = min(2 * cells, MOST_PARTS)  # twice as many, as cells meet in partitions by hash
+    found = left.repartition(parts, "cell").groupBy("cell").cogroup(right.repartition(parts, "cell").groupBy("cell")).applyInArrow(meet, schema)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))
-    ranked = found.withColumn("rank", rank).where(F.col("rank") <= k)
-    return ranked.join(units.select("id", "word"), "id").select("query", "rank", F.col("id").cast(units.schema["id"].dataType).alias("id"), "word", "similarity")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", F.col("id").cast(units.schema["id"].dataType).alias("id"), "word", "similarity")
 
 
 def neighbors(units: DataFrame, query_ids: DataFrame, k: int = 100) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.config import VocabOptions
 from wordloom.functions.text import UNKNOWN, words
+from wordloom.operators.places import numbered
 
 
 class UnknownInCorpus(ValueError):
@@ -41,31 +42,17 @@ def tie(word: Column) -> Column:
     return F.md5(word)
 
 
-def _numbered(counts: DataFrame, head: Column, order: list) -> DataFrame:
-    """word, n, at: the place, from 1, in descending n, then order; head must not fall along that order.
-
-    Words are numbered within their count and head; what stands before each such group is a running
-    sum over the small table of groups, so no task sorts the whole vocabulary.
-    """
-    parts = counts.select("word", "n", head.alias("head"))
-    groups = parts.groupBy("n", "head").agg(F.count(F.lit(1)).alias("size"))
-    before = F.sum("size").over(Window.orderBy(F.desc("n"), "head").rowsBetween(Window.unboundedPreceding, -1))
-    based = groups.select("n", "head", F.coalesce(before, F.lit(0)).alias("base"))
-    at = F.row_number().over(Window.partitionBy("n", "head").orderBy(*order))
-    return parts.join(based, ["n", "head"]).select("word", "n", (at + F.col("base")).alias("at"))
-
-
 def limited(counts: DataFrame, options: VocabOptions) -> DataFrame:
-    """The max_vocab most frequent words, and of those the ones seen min_count times."""
+    """The max_vocab most frequent words, and of those the ones seen min_count times. With max_vocab, a job runs while this is called."""
     if options.max_vocab > 0:
-        placed = _numbered(counts, F.substring(tie(F.col("word")), 1, 3), [tie(F.col("word")), "word"])
+        placed = numbered(counts.select("word", "n"), [F.desc("n"), tie(F.col("word")), "word"], "at")
         counts = placed.where(F.col("at") <= options.max_vocab).select("word", "n")
     return counts.where(F.col("n") >= options.min_count)
 
 
 def ranked(counts: DataFrame) -> DataFrame:
-    """id (1-based rank by count, ties by word), word, n."""
-    return _numbered(counts, F.substring("word", 1, 3), ["word"]).select(F.col("at").cast("int").alias("id"), "word", "n")
+    """id (1-based rank by count, ties by word), word, n. A job runs while this is called (see places)."""
+    return numbered(counts.select("word", "n"), [F.desc("n"), "word"], "at").select(F.col("at").cast("int").alias("id"), "word", "n")
 
 
 def vocabulary(corpus: DataFrame, options: VocabOptions = VocabOptions(), text_col: str = "text") -> DataFrame:

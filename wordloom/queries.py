@@ -48,7 +48,7 @@ def pairs(spark, sf_dir, least=MIN_COUNT, **options):
 
 
 def tokenize(spark, sf_dir):
-    return tx.tokens(docs(spark, sf_dir))
+    return tx.tokens(docs(spark, sf_dir)).select("doc_id", "line", "pos", "word")
 
 
 def corpus_stats(spark, sf_dir):
@@ -88,7 +88,7 @@ def vocab_lines(spark, sf_dir):
 
 
 def encode_corpus(spark, sf_dir):
-    return ids(spark, sf_dir).select("doc_id", "line", "pos", "id")
+    return ids(spark, sf_dir).select("doc_id", "line", F.col("pos").cast("int").alias("pos"), "id")
 
 
 def cooccur_weighted_corpus(spark, sf_dir):

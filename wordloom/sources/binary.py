@@ -2,7 +2,8 @@
 
 ``pair_records``: 16-byte records int32, int32, float64 in the host's byte order, read by byte ranges and
 written one file a task. ``parameter_file``: float64, first all word rows, then all context rows, each
-with its bias last; needs the option ``size``, the vector size. Paths are URIs that pyarrow opens.
+with its bias last; needs the option ``size``, the vector size. ``summed_vectors``: such a file's word and
+context vectors added up. Paths are URIs that pyarrow opens.
 """
 
 from __future__ import annotations
@@ -11,10 +12,15 @@ import struct
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from wordloom.sources.onefile import write_one
+
 RECORD = struct.Struct("=iid")
 SPLIT = 1 << 26
 
@@ -183,6 +189,7 @@ class ParameterFile(DataSource):
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(PairRecords)
     spark.dataSource.register(ParameterFile)
+    spark.dataSource.register(SummedVectors)
 
 
 def write_parameters(params, path: str, columns: tuple[str, str] = ("v", "b")) -> None:
@@ -196,6 +203,85 @@ def write_parameters(params, path: str, columns: tuple[str, str] = ("v", "b")) -
     rows.repartitionByRange("s", "id").sortWithinPartitions("s", "id").select("side", "id", "v", "b").write.format("parameter_file").mode("append").save(path)
 
 
+def _parameter_bytes(batch: pa.RecordBatch) -> bytes:
+    v = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+    return np.column_stack([v, batch.column(1).to_numpy(zero_copy_only=False)]).astype(np.float64).tobytes()
+
+
+def write_parameter_file(params: DataFrame, path: str, columns: tuple[str, str] = ("v", "b")) -> None:
+    """The format's one file, written by all tasks: word rows by id, then context rows; columns (g, gb) writes the accumulators."""
+    v, b = columns
+    write_one(params, [F.when(F.col("side") == "w", 0).otherwise(1), "id"], [F.col(v).alias("v"), F.col(b).alias("b")], _parameter_bytes, path)
+
+
+PAIR = np.dtype([("word1", "=i4"), ("word2", "=i4"), ("val", "=f8")])
+
+
+def _pair_bytes(batch: pa.RecordBatch) -> bytes:
+    out = np.empty(batch.num_rows, PAIR)
+    for k, name in enumerate(PAIR.names):
+        out[name] = batch.column(k).to_numpy(zero_copy_only=False)
+    return out.tobytes()
+
+
+def write_pair_file(pairs: DataFrame, path: str, order: list | None = None) -> None:
+    """One file of 16-byte records, written by all tasks, by word1 and word2 or in another order that no two pairs share."""
+    write_one(pairs, order or ["word1", "word2"], [F.col("word1"), F.col("word2"), F.col("val")], _pair_bytes, path)
+
+
+class _Halves(InputPartition):
+    """Rows first to last of both halves of the file."""
+
+    def __init__(self, first: int, last: int):
+        self.first, self.last = first, last
+
+
+class _SummedReader(DataSourceReader):
+    def __init__(self, path: str, words: int):
+        found = _files(path)
+        if len(found) != 1:
+            raise ValueError(f"{path}: not one file")
+        self.path, size = found[0]
+        self.words = words
+        if words < 1 or size % (16 * words) or size < 32 * words:
+            raise ValueError(f"{path}: {size} bytes are not two sides of {words} words")
+        self.row = size // (2 * words)
+
+    def partitions(self) -> list[_Halves]:
+        step = max(1, SPLIT // self.row)
+        return [_Halves(k, min(k + step, self.words)) for k in range(0, self.words, step)]
+
+    def read(self, partition: _Halves) -> Iterator[pa.RecordBatch]:
+        n = partition.last - partition.first
+        halves = [np.frombuffer(_read(self.path, begin + partition.first * self.row, n * self.row)).reshape(n, -1)[:, :-1] for begin in (0, self.words * self.row)]
+        total = halves[0] + halves[1]
+        for k in range(0, n, 8192):
+            part = np.ascontiguousarray(total[k : k + 8192])
+            ends = np.arange(0, part.size + 1, part.shape[1], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(partition.first + k + 1, partition.first + k + 1 + len(part), dtype=np.int32)), pa.ListArray.from_arrays(ends, part.ravel())], names=["id", "v"])
+
+
+class SummedVectors(DataSource):
+    """Options: path of a parameter file, words (the vocabulary's size). The vector size follows from the file's."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "summed_vectors"
+
+    def schema(self) -> str:
+        return "id int, v array<double>"
+
+    def reader(self, schema) -> _SummedReader:
+        return _SummedReader(self.options["path"], int(self.options["words"]))
+
+
+def read_summed(spark: SparkSession, path: str, vocab: DataFrame) -> DataFrame:
+    """id, word, v: word and context vectors of a parameter file added up, biases left out. A task reads the same rows of both halves."""
+    register(spark)
+    words = vocab.count()
+    return spark.read.format("summed_vectors").option("words", words).load(path).join(vocab.select("id", "word"), "id").select("id", "word", "v")
+
+
 def joined(folder: str, path: str) -> None:
     """The parts of a folder as one file, copied a block at a time."""
     system, inner = pafs.FileSystem.from_uri(path)
@@ -205,4 +291,4 @@ def joined(folder: str, path: str) -> None:
                 out.write(_read(part, k, min(SPLIT, size - k)))
 
 
-__all__ = ["PairRecords", "ParameterFile", "joined", "register", "write_parameters"]
+__all__ = ["PairRecords", "ParameterFile", "SummedVectors", "joined", "read_summed", "register", "write_pair_file", "write_parameter_file", "write_parameters"]

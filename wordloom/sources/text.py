@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.functions.text import UNKNOWN
+from wordloom.sources.onefile import write_lines
+from wordloom.sources.ranges import read_lines
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -18,11 +20,10 @@ def _fields(line: Column) -> Column:
 
 
 def read_vocab(spark: SparkSession, path: str) -> DataFrame:
-    """id (line number, from 1), word, n of a file of `word count` lines. One file is read whole, in order."""
-    lines = spark.read.text(path, wholetext=True)
-    rows = lines.select(F.posexplode(F.split(F.col("value"), "\n")).alias("at", "line")).where("line <> ''")
-    f = _fields(F.col("line"))
-    return rows.select((F.col("at") + 1).cast("int").alias("id"), f[0].alias("word"), f[1].cast("long").alias("n"))
+    """id (line number, from 1), word, n of a file of `word count` lines, read by ranges; ValueError if a word stands in it twice."""
+    f = _fields(F.col("value"))
+    rows = read_lines(spark, path).where("value <> ''").select(F.col("id").cast("int").alias("id"), f[0].alias("word"), f[1].cast("long").alias("n"))
+    return refuse_repeated(rows)
 
 
 def refuse_repeated(vocab: DataFrame) -> DataFrame:
@@ -38,7 +39,8 @@ def vocab_lines(vocab: DataFrame) -> DataFrame:
 
 
 def write_vocab(vocab: DataFrame, path: str) -> None:
-    vocab_lines(vocab).coalesce(1).write.mode("overwrite").text(path)
+    """One file, written by all tasks (see sources.onefile)."""
+    write_lines(vocab, ["id"], F.concat_ws(" ", "word", F.col("n").cast("string")), path)
 
 
 def read_vectors(spark: SparkSession, path: str, vocab: DataFrame | None = None) -> DataFrame:
@@ -74,7 +76,8 @@ def accumulator_lines(params: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def write_vectors(lines: DataFrame, path: str) -> None:
-    lines.orderBy("line_no").select("value").coalesce(1).write.mode("overwrite").text(path)
+    """One file of the lines (line_no, value), written by all tasks."""
+    write_lines(lines, ["line_no"], "value", path)
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
