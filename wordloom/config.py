@@ -41,3 +41,16 @@ class TrainOptions:
             raise ValueError(f"unknown mode {self.mode}")
         if self.vector_size < 1 or self.batch < 1:
             raise ValueError("vector_size and batch must be at least 1")
+
+
+@dataclass(frozen=True)
+class SaveOptions:
+    model: int = 2  # 0: word and context with biases, 1: word, 2: sum, 3: word and context without biases
+    binary: int = 0  # 0: text, 1: binary, 2: both
+    header: bool = False
+    gradsq: bool = False  # accumulators too
+    initial: bool = False  # the parameters before the first iteration too, in binary form
+
+    def __post_init__(self):
+        if self.model not in (0, 1, 2, 3) or self.binary not in (0, 1, 2):
+            raise ValueError("model must be 0 to 3, and binary 0, 1 or 2")

@@ -5,13 +5,13 @@ f diff^2 / 2. Vector gradients are clipped and scaled by eta, bias gradients are
 divided by the roots of the accumulated squares before the record.
 
 Parameters are rows (side w or c, id, v, b, g, gb). Three modes: exact takes records one by one in
-the shuffled order, on one task; stratified deals words and contexts to P parts and trains the P
-pairs of parts that share nothing at the same time, so each epoch equals some serial order;
-fullbatch sums all gradients and makes one step, in plain DataFrame operations; as eta doesn't scale bias
-steps, its first steps overshoot, so it serves to check the formula rather than to fit vectors.
+the shuffled order, on one task, for tests; stratified deals words and contexts to P parts of like weight
+and trains the P pairs of parts that share nothing at the same time, so each epoch equals some serial order;
+fullbatch sums all gradients, by cells of two parts, and makes one step; as eta doesn't scale bias steps, its first steps
+overshoot, so it serves to check the formula rather than to fit vectors.
 
 The records are written once, before the first iteration, for stratified training by the pair of parts
-that they belong to; an iteration reads them again, and its cost is a row of the costs table.
+that they belong to; an iteration reads them where they are, and its cost is a row of the costs table.
 """
 
 from __future__ import annotations
@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 
 from wordloom.config import TrainOptions
 from wordloom.functions import vectors as vec
+from wordloom.plans.cells import CELL_RECORDS, COST, block_sums, heavy_parts, part_of, sub_epoch, summed
 from wordloom.plans.checkpoint import Checkpoints
 
-COST = "cost"
-PART_RECORDS = 4_000_000  # records of a task in stratified mode, some 150 MB in its worker
 PARAMS = "side string, id int, v array<double>, b double, g array<double>, gb double"
+PARAM_COLUMNS = ("side", "id", "v", "b", "g", "gb")
 
 
 def start_value(id_: Column, dim: Column, side: Column, seed: int, size: int) -> Column:
@@ -55,35 +55,16 @@ def usable(pairs: DataFrame) -> DataFrame:
     return pairs.where("word1 >= 1 and word2 >= 1 and val > 0")
 
 
-def errors(pairs: DataFrame, params: DataFrame, options: TrainOptions) -> DataFrame:
-    """word1, word2, both sides' parameters, diff and fd = f * diff of every usable pair."""
-    side = lambda s, key: params.where(F.col("side") == s).select(F.col("id").alias(key), *[F.col(x).alias(s + x) for x in ("v", "b", "g", "gb")])
-    full = usable(pairs).join(side("w", "word1"), "word1").join(side("c", "word2"), "word2")
-    diff = vec.dot(F.col("wv"), F.col("cv")) + F.col("wb") + F.col("cb") - F.ln("val")
-    with_diff = full.withColumn("diff", diff).withColumn("fd", vec.pair_weight(F.col("val"), options.x_max, options.alpha) * F.col("diff"))
-    return with_diff.where(vec.finite(F.col("diff")) & vec.finite(F.col("fd")))
-
-
 def cost(pairs: DataFrame, params: DataFrame, options: TrainOptions) -> DataFrame:
-    """One row: cost, the mean over all pairs; skipped ones stay in the denominator."""
-    total = errors(pairs, params, options).agg(F.sum(0.5 * F.col("fd") * F.col("diff")).alias("s"))
-    n = pairs.agg(F.count(F.lit(1)).alias("n"))
-    return total.join(F.broadcast(n)).select(F.coalesce(F.try_divide("s", F.col("n")), F.lit(0.0)).alias("cost"))
+    """One row: cost, the mean over all pairs; skipped ones stay in the denominator. A count of the pairs runs while this is called."""
+    n = pairs.count()
+    total = block_sums(usable(pairs), params, options, n).where(F.col("side") == COST).agg(F.sum("fd").alias("s"))
+    return total.select(F.coalesce(F.try_divide("s", F.lit(n).cast("double")), F.lit(0.0)).alias("cost"))
 
 
-def fullbatch_step(pairs: DataFrame, params: DataFrame, options: TrainOptions) -> DataFrame:
-    """Parameters after one step along the summed gradients. A gradient that isn't finite moves nothing."""
-    e = errors(pairs, params, options)
-    dims = range(options.vector_size)
-
-    def grads(side: str, key: str, other: str) -> DataFrame:
-        """A column for each dimension, so that partial sums are made where the pairs are."""
-        one = lambda k: F.sum(vec.clipped(F.col("fd") * F.col(other)[k], options.grad_clip) * options.eta).alias(f"t{k}")
-        sums = e.groupBy(F.col(key).alias("id")).agg(*[one(k) for k in dims], F.sum("fd").alias("fd"))
-        return sums.select(F.lit(side).alias("side"), "id", F.array(*[f"t{k}" for k in dims]).alias("t"), "fd")
-
-    steps = grads("w", "word1", "cv").unionByName(grads("c", "word2", "wv"))
-    steps = steps.where(F.forall("t", lambda x: vec.finite(x)) & vec.finite(F.col("fd")))
+def stepped(params: DataFrame, sums: DataFrame) -> DataFrame:
+    """Parameters after one step along the gradients of block_sums(). A gradient that isn't finite moves nothing."""
+    steps = summed(sums).where(F.forall("t", lambda x: vec.finite(x)) & vec.finite(F.col("fd")))
     out = params.join(steps, ["side", "id"], "left")
     moved = F.zip_with(F.col("v"), F.zip_with("t", "g", lambda t, g: t / F.sqrt(g)), lambda v, u: v - u)
     new = lambda x, y: F.when(F.col("t").isNull(), F.col(y)).otherwise(x).alias(y)
@@ -92,6 +73,11 @@ def fullbatch_step(pairs: DataFrame, params: DataFrame, options: TrainOptions) -
     )
 
 
+def fullbatch_step(pairs: DataFrame, params: DataFrame, options: TrainOptions) -> DataFrame:
+    """Parameters after one step along the summed gradients of all pairs. A count of the pairs runs while this is called."""
+    return stepped(params, block_sums(usable(pairs), params, options, pairs.count()))
+
+
 def run_records(w, c, i, j, x, options: TrainOptions, batch: int) -> float:
     """Updates both sides' arrays (v, b, g, gb) in place, batch records at a time; the cost's sum.
 
@@ -160,38 +146,31 @@ def exact_epoch(pairs: DataFrame, params: DataFrame, options: TrainOptions) -> D
     return p.groupBy("one").cogroup(r.groupBy("one")).applyInPandas(lambda a, b: _group(a, b, options, 1), PARAMS)
 
 
-def _part(c, n: int) -> Column:
-    return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+def _stratified_tables(whole: DataFrame, n: int, options: TrainOptions, kept: Checkpoints) -> tuple[str, DataFrame, TrainOptions]:
+    """Folder of the usable records laid out by sub-epoch and word part, the parts of heavy words, and options with blocks.
 
-
-def stratified_epoch(records: DataFrame, params: DataFrame, options: TrainOptions, cut) -> tuple[DataFrame, float]:
-    """options.blocks sub-epochs; in each, parts (p, p + s) train in parallel. cut: writes and rereads, ending the lineage."""
-    n, total = options.blocks, 0.0
-    for s in range(n):
-        at = F.when(F.col("side") == "w", _part("id", n)).otherwise(F.pmod(_part("id", n) - s, F.lit(n)))
-        dealt = params.withColumn("p", at)
-        of_s = records.where(F.col("s") == s).drop("s")
-        params, more = _split(cut(dealt.groupBy("p").cogroup(of_s.groupBy("p")).applyInPandas(lambda a, b: _group(a, b, options, options.batch), PARAMS)))
-        total += more
-    return params, total
+    Parts follow from the records' counts, so that no cell is a multiple of another; the number of parts from the
+    number of records.
+    """
+    parts = options.blocks or max(2, ceil(sqrt(n / CELL_RECORDS)))
+    heavy = heavy_parts(usable(whole), parts)
+    dealt = part_of(part_of(usable(whole), heavy, "w", "word1", "p", parts), heavy, "c", "word2", "q", parts)
+    laid = dealt.withColumn("s", F.pmod(F.col("q") - F.col("p"), F.lit(parts))).drop("q").repartition("s", "p").sortWithinPartitions("s", "p", "k", "word1", "word2")
+    return kept.table_path(laid, "s", "p"), heavy, replace(options, blocks=parts)
 
 
-def _records(pairs: DataFrame, options: TrainOptions, cut) -> tuple[DataFrame, int, TrainOptions]:
-    """Usable pairs in a table that all iterations read, the number of all pairs, and options with blocks.
+def stratified_epoch(kept: Checkpoints, records: str, params: str, options: TrainOptions, k: int) -> tuple[DataFrame, float]:
+    """options.blocks sub-epochs; in each, cells (p, p + s) train in parallel, and the last one's parameters are iteration k.
 
-    The number of blocks follows from the number of records, so that a task of stratified training holds
-    about PART_RECORDS of them; the table is laid out by sub-epoch.
+    Neither records nor parameters are shuffled: tasks read their parts and cell from the tables, and write their parts.
     """
-    whole = cut(pairs.select("word1", "word2", "val", _order(options.seed).alias("k")))
-    n = whole.count()
-    if options.mode == "stratified":
-        blocks = options.blocks or max(2, ceil(sqrt(n / PART_RECORDS)))
-        options = replace(options, blocks=blocks)
-        p1, p2 = _part("word1", blocks), _part("word2", blocks)
-        whole = cut(usable(whole).withColumns({"p": p1, "s": F.pmod(p2 - p1, F.lit(blocks))}).repartition("s", "p"), "s")
-    else:
-        whole = usable(whole)
-    return whole, n, options
+    spark, n, total = kept.spark, options.blocks, 0.0
+    update = lambda w, c, i, j, x: run_records(w, c, i, j, x, options, options.batch)
+    for s in range(n):
+        trained = sub_epoch(spark, records, params, s, n, options, update)
+        params = kept.scratch_path(trained, "side", "part") if s < n - 1 else kept.save_path(k, trained, ("side", "part"))
+        total += spark.read.schema(trained.schema).parquet(params).where(F.col("side") == COST).agg(F.sum("b")).first()[0] or 0.0
+    return kept.load(k), total
 
 
 def started(ids: DataFrame, options: TrainOptions, start: DataFrame | None) -> DataFrame:
@@ -215,16 +194,23 @@ def train(pairs: DataFrame, ids: DataFrame, options: TrainOptions, folder: str,
     kept = Checkpoints(spark, folder)
     begin = kept.last() if resume else 0
     params = kept.load(begin) if begin else kept.save(0, started(ids, options, start))
-    records, n, options = _records(pairs, options, kept.table)
+    whole = kept.table(pairs.select("word1", "word2", "val", _order(options.seed).alias("k")))
+    n, laid, at = whole.count(), "", ""
+    if options.mode == "stratified":
+        laid, heavy, options = _stratified_tables(whole, n, options, kept)
+        dealt = part_of(params, heavy, F.col("side"), "id", "part", options.blocks).select("side", "part", *PARAM_COLUMNS[1:])
+        at = kept.table_path(dealt.repartition("side", "part"), "side", "part")
     for k in range(begin + 1, options.iterations + 1):
         if options.mode == "exact":
-            params, total = _split(kept.scratch(exact_epoch(records, params, options)))
+            params, total = _split(kept.scratch(exact_epoch(whole, params, options)))
+            params = kept.save(k, params)
         elif options.mode == "fullbatch":
-            total = (cost(records, params, options).first().cost or 0.0) * records.count()
-            params = fullbatch_step(records, params, options)
+            sums = kept.scratch(block_sums(usable(whole), params, options, n))
+            total = sums.where(F.col("side") == COST).agg(F.sum("fd")).first()[0] or 0.0
+            params = kept.save(k, stepped(params, sums))
         else:
-            params, total = stratified_epoch(records, params, options, kept.scratch)
-        params = kept.save(k, params)
+            params, total = stratified_epoch(kept, laid, at, options, k)
+            at = kept.path(k)
         spark.createDataFrame([(k, total / n if n else 0.0)], "iteration int, cost double").coalesce(1).write.mode("overwrite").parquet(f"{folder}/costs/k{k:03d}")
         kept.prune(k, options.checkpoint_every)
     kept.drop_tables()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordloom.config import CooccurOptions, TrainOptions, VocabOptions
@@ -15,8 +15,12 @@ from wordloom.operators import cooccur as co
 from wordloom.operators import vectors as wv
 from wordloom.operators import vocab as vo
 from wordloom.plans import training as tr
+from wordloom.sources import binary
 from wordloom.sources import text as st
+from wordloom.sources.onefile import line_bytes, write_one
+from wordloom.sources.ranges import read_pieces
 from wordloom.sources.tables import shared_dir, spread, written
+from wordloom.streaming.vocab import Counts, count_to_table, latest
 
 MIN_COUNT = 5
 SIZE = 50  # of vectors
@@ -158,7 +162,10 @@ def train_cost(spark, sf_dir):
 
 
 def adagrad_step(spark, sf_dir):
-    p = tr.fullbatch_step(_records(spark, sf_dir), _start(spark, sf_dir), TRAIN)
+    return _flat(tr.fullbatch_step(_records(spark, sf_dir), _start(spark, sf_dir), TRAIN))
+
+
+def _flat(p):
     flat = p.select("side", "id", F.posexplode(F.arrays_zip(F.concat(F.array("b"), "v").alias("val"), F.concat(F.array("gb"), "g").alias("acc"))).alias("dim", "x"))
     return flat.select("side", "id", "dim", F.round("x.val", 5).alias("val"), F.round("x.acc", 5).alias("acc"))
 
@@ -301,13 +308,91 @@ def resume_equivalence(spark, sf_dir):
 
 def stream_vocab_count(spark, sf_dir):
     """The batch query's rows by a stream over the documents table."""
-    from wordloom.streaming.vocab import count_to_table, latest
-
     # As a pattern, the path may be one file or a folder of files.
     single = spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parque[t]")
     folder = _folder(spark)
     count_to_table(single, folder, f"{folder}-checkpoint").awaitTermination()
-    return latest(spark.read.parquet(folder))
+    return latest(spark, folder)
+
+
+def stream_vocab_changes(spark, sf_dir):
+    """The same by three micro-batches of a third of the documents each, with a compaction and a restart after the second."""
+    d, folder = table(spark, sf_dir, "documents").select("doc_id", "text"), _folder(spark)
+    third = lambda k: d.where(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == k).write.parquet(f"{folder}-in/part={k}")
+    kept = Counts(spark, folder)
+    for parts in ((0, 1), (2,)):
+        for k in parts:
+            third(k)
+            new = spark.readStream.schema(d.schema).parquet(f"{folder}-in/part=*")
+            count_to_table(new, folder, f"{folder}-checkpoint").awaitTermination()
+        kept.compact()
+    return kept.latest()
+
+
+def _one_line(spark, sf_dir):
+    """All documents in one file of one line, in ascending doc_id order, read back by ranges."""
+    path = f"{_folder(spark)}-corpus/one-line.txt"
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.translate(F.coalesce("text", F.lit("")), "\n", " "), F.lit(" ")).alias("text"))
+    write_one(d, ["doc_id"], [F.col("text")], line_bytes, path)
+    return read_pieces(spark, path, range_bytes=1 << 20)
+
+
+def encode_one_line(spark, sf_dir):
+    """Ids of the whole corpus as one line, by place in it."""
+    pieces = _one_line(spark, sf_dir)
+    found = co.encoded_pieces(pieces, vo.ranked(vo.limited(vo.word_counts(pieces), VocabOptions(min_count=MIN_COUNT))))
+    return found.select("line", "pos", "id")
+
+
+def cooccur_one_line(spark, sf_dir):
+    """Pairs of the whole corpus as one line."""
+    pieces = _one_line(spark, sf_dir)
+    found = co.encoded_pieces(pieces, vo.ranked(vo.limited(vo.word_counts(pieces), VocabOptions(min_count=MIN_COUNT))))
+    return co.cooccurrence(found, CooccurOptions(window_size=5))
+
+
+def vocab_file(spark, sf_dir):
+    """The vocabulary written as one file and read back with its line numbers."""
+    path = f"{_folder(spark)}-vocab/vocab.txt"
+    st.write_vocab(vocab(spark, sf_dir), path)
+    return st.read_vocab(spark, path)
+
+
+def neighbors_all(spark, sf_dir):
+    """Three nearest of every vector, against all vectors."""
+    u = written(_units(spark, sf_dir), "units")
+    return wv.neighbors(u, u.select(F.col("id").alias("query")), 3).select("query", "rank", "id", F.round("similarity", 6).alias("similarity"))
+
+
+def evaluate_binary(spark, sf_dir):
+    """Accuracy of vectors read from a binary parameter file: the embeddings as word vectors, reversed as context vectors."""
+    v = _vectors(spark, sf_dir).withColumn("id", F.col("id") + 1)
+    sides = [v.select(F.lit(s).alias("side"), "id", (F.reverse("v") if s == "c" else F.col("v")).alias("v"), F.col("id").cast("double").alias("b")) for s in "wc"]
+    path = f"{_folder(spark)}-params/vectors.bin"
+    binary.write_parameter_file(sides[0].unionByName(sides[1]), path)
+    read = written(binary.read_summed(spark, path, v.select("id", "word")), "vectors")
+    return wv.evaluated(read, _questions(spark, sf_dir), _semantic())
+
+
+def train_cost_default(spark, sf_dir):
+    """train_cost with the usual cuts: words seen five times, windows of 15."""
+    return tr.cost(written(pairs(spark, sf_dir), "pairs"), _start(spark, sf_dir, MIN_COUNT), TRAIN).select(F.round("cost", 6).alias("cost"))
+
+
+def adagrad_step_default(spark, sf_dir):
+    """adagrad_step with the usual cuts."""
+    return _flat(tr.fullbatch_step(written(pairs(spark, sf_dir), "pairs"), _start(spark, sf_dir, MIN_COUNT), TRAIN))
+
+
+def train_fit(spark, sf_dir):
+    """Five epochs of stratified training on all pairs (words seen five times, windows of 15): whether each epoch's mean cost is below the one before, the first below that of the initial parameters."""
+    v, p, folder = written(vocab(spark, sf_dir), "vocabulary"), written(pairs(spark, sf_dir), "pairs"), _folder(spark)
+    options = replace(TRAIN, iterations=5, blocks=0)
+    tr.train(p, v.select("id"), options, folder)
+    first = tr.cost(p, tr.initial(v.select("id"), options), options).select(F.lit(0).alias("iteration"), "cost")
+    before = F.lag("cost").over(Window.orderBy("iteration"))  # six rows
+    fell = first.unionByName(tr.costs(spark, folder)).select("iteration", (F.col("cost") < before).alias("falls")).where("iteration > 0")
+    return fell.join(p.agg(F.count(F.lit(1)).alias("pairs"))).select("iteration", "pairs", "falls")
 
 
 def vector_lookup(spark, sf_dir):
@@ -324,6 +409,7 @@ QUERIES = {
         cooccur_sym, cooccur_asym, cooccur_unweighted, cooccur_w5, cooccur_w10, cooccur_partial_final, shuffle_content, pair_weights, init_params, train_cost, adagrad_step,
         unk_vector, vector_export_text, normalize_vectors, vector_arithmetic, neighbors, neighbors_phrase, analogy_topn, analogy_predict, analogy_coverage, analogy_accuracy,
         analogy_running_accuracy, train_vectors, train_costs, checkpoint_list, resume_equivalence, stream_vocab_count, vector_lookup, cooccur_weighted_corpus,
+        stream_vocab_changes, encode_one_line, cooccur_one_line, vocab_file, neighbors_all, evaluate_binary, train_cost_default, adagrad_step_default, train_fit,
     )
 } | {f"export_model{m}": _export(m) for m in range(4)}
 
@@ -358,19 +444,39 @@ def _params_sql(least=20):
     return f"params AS (SELECT side, id, dim, CAST({value} AS DOUBLE) AS val FROM (SELECT CAST(id AS BIGINT) AS id, word FROM vocab), (VALUES ('w', 0), ('c', 1)) s(side, sd), (SELECT CAST(unnest(range(0, {SIZE + 1})) AS INTEGER) AS dim))"
 
 
+def _lists_sql(name: str) -> str:
+    """The initial parameters as lists: side, id, b, v, gb, g."""
+    value = lambda dim: f"CAST((((id * 7919 + {dim} * 104729 + sd * 1299709) % 1000003) / 1000003.0 - 0.5) / {float(SIZE)} AS DOUBLE)"
+    return f"{name} AS MATERIALIZED (SELECT side, id, {value(0)} AS b, list_transform(range(1, {SIZE + 1}), lambda k: {value('k')}) AS v, 1.0::DOUBLE AS gb, list_transform(range(1, {SIZE + 1}), lambda k: 1.0::DOUBLE) AS g FROM (SELECT CAST(id AS BIGINT) AS id FROM vocab), (VALUES ('w', 0), ('c', 1)) s(side, sd))"
+
+
+def _errors_sql(old: str, errors: str) -> str:
+    return f"""{errors} AS MATERIALIZED (SELECT word1, word2, diff, CASE WHEN x > 10 THEN 1.0 ELSE pow(x / 10, 0.75) END * diff AS fd FROM (
+  SELECT word1, word2, p.val AS x, list_dot_product(w.v, c.v) + w.b + c.b - ln(p.val) AS diff FROM pairs p JOIN {old} w ON w.side = 'w' AND w.id = word1 JOIN {old} c ON c.side = 'c' AND c.id = word2))"""
+
+
 def _step_sql(old: str, errors: str, grads: str, new: str) -> str:
-    """Errors at the parameters ``old`` (side, id, dim, val, acc), summed gradients, and the parameters ``new`` after the step."""
-    return f"""
-{errors}r AS (SELECT word1, word2, any_value(p.val) AS x, sum(CASE WHEN w.dim = 0 THEN w.val + c.val ELSE w.val * c.val END) - ln(any_value(p.val)) AS diff
-  FROM pairs p JOIN {old} w ON w.side = 'w' AND w.id = word1 JOIN {old} c ON c.side = 'c' AND c.id = word2 AND c.dim = w.dim GROUP BY word1, word2),
-{errors} AS (SELECT *, CASE WHEN x > 10 THEN 1.0 ELSE pow(x / 10, 0.75) END * diff AS fd FROM {errors}r),
-{grads} AS (SELECT 'w' AS side, word1 AS id, dim, sum(CASE WHEN dim = 0 THEN fd ELSE greatest(least(fd * val, 100), -100) * {TRAIN.eta} END) AS t FROM {errors} JOIN {old} c ON c.side = 'c' AND c.id = word2 GROUP BY ALL
-  UNION ALL SELECT 'c', word2, dim, sum(CASE WHEN dim = 0 THEN fd ELSE greatest(least(fd * val, 100), -100) * {TRAIN.eta} END) FROM {errors} JOIN {old} w ON w.side = 'w' AND w.id = word1 GROUP BY ALL),
-{new} AS (SELECT side, id, dim, val - coalesce(t, 0) / sqrt(acc) AS val, acc + coalesce(t * t, 0) AS acc FROM {old} LEFT JOIN {grads} USING (side, id, dim))"""
+    """Errors at the parameters ``old`` (side, id, b, v, gb, g), summed gradients, and the parameters ``new`` after the step."""
+    sums = ", ".join(f"sum(greatest(least(fd * o.v[{k}], 100), -100) * {TRAIN.eta})" for k in range(1, SIZE + 1))
+    return f"""{_errors_sql(old, errors)},
+{grads} AS MATERIALIZED (SELECT 'w' AS side, word1 AS id, sum(fd) AS f, [{sums}] AS t FROM {errors} JOIN {old} o ON o.side = 'c' AND o.id = word2 GROUP BY word1
+  UNION ALL SELECT 'c', word2, sum(fd), [{sums}] FROM {errors} JOIN {old} o ON o.side = 'w' AND o.id = word1 GROUP BY word2),
+{new} AS MATERIALIZED (SELECT side, id, b - coalesce(f, 0) / sqrt(gb) AS b, CASE WHEN t IS NULL THEN v ELSE list_transform(range(1, {SIZE + 1}), lambda k: v[k] - t[k] / sqrt(g[k])) END AS v,
+  gb + coalesce(f * f, 0) AS gb, CASE WHEN t IS NULL THEN g ELSE list_transform(range(1, {SIZE + 1}), lambda k: g[k] + t[k] * t[k]) END AS g FROM {old} LEFT JOIN {grads} USING (side, id))"""
 
 
-_FIRST = f"{_pairs_sql(20, 5)}, {_params_sql()}, p0 AS (SELECT *, 1.0::DOUBLE AS acc FROM params), {_step_sql('p0', 'e0', 'g0', 'p1')}"
-_BOTH = f"{_FIRST}, {_step_sql('p1', 'e1', 'g1', 'p2')}"
+def _first_sql(least, window):
+    return f"{_pairs_sql(least, window)}, {_lists_sql('p0')}, {_errors_sql('p0', 'e0')}"
+
+
+def _stepped_sql(least, window):
+    return f"{_pairs_sql(least, window)}, {_lists_sql('p0')}, {_step_sql('p0', 'e0', 'g0', 'p1')}"
+
+
+_COST = "round(sum(0.5 * fd * diff) / (SELECT count(*) FROM pairs), {})"
+#: Dimension 0 is the bias.
+_FLAT = f"(SELECT side, id, unnest(range(0, {SIZE + 1})) AS dim, unnest(list_concat([b], v)) AS val, unnest(list_concat([gb], g)) AS acc FROM {{}})"
+_FLAT_STEP = f"SELECT side, CAST(id AS INTEGER) AS id, CAST(dim AS INTEGER) AS dim, round(val, 5) + 0.0 AS val, round(acc, 5) AS acc FROM {_FLAT.format('p1')}"
 
 
 def _export_sql(model):
@@ -389,12 +495,20 @@ _UNITS = """ev AS (SELECT CAST(vec_id AS INTEGER) AS id, i - 1 AS dim, CAST(embe
 u AS (SELECT id, dim, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS x FROM ev)"""
 _QUESTIONS = """q AS (SELECT 'label' || label AS category, vec_id AS seq, vec_id AS a, vec_id + 3 AS b, vec_id + 6 AS c, vec_id + 9 AS d FROM embeddings WHERE vec_id % 5 = 0),
 k AS (SELECT * FROM q WHERE d <= (SELECT max(vec_id) FROM embeddings))"""
-_ANALOGY = f"""{_UNITS}, {_QUESTIONS},
+_SUMMED = """ev AS (SELECT CAST(vec_id AS INTEGER) AS id, i - 1 AS dim, CAST(embedding[i] AS DOUBLE) + CAST(embedding[len(embedding) + 1 - i] AS DOUBLE) AS x FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)),
+u AS (SELECT id, dim, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS x FROM ev)"""
+
+
+def _analogy_sql(units):
+    return f"""{units}, {_QUESTIONS},
 qv AS (SELECT seq, dim, sum(CASE WHEN u.id = a THEN -x ELSE x END) AS x FROM k JOIN u ON u.id IN (a, b, c) GROUP BY seq, dim),
 sc AS (SELECT qv.seq, u.id, sum(qv.x * u.x) AS s FROM qv JOIN u USING (dim) GROUP BY ALL),
 qn AS (SELECT seq, sqrt(sum(x * x)) AS norm FROM qv GROUP BY seq),
 rk AS (SELECT sc.seq, sc.id, s, row_number() OVER (PARTITION BY sc.seq ORDER BY round(s, 12) DESC, sc.id) AS rank FROM sc JOIN k USING (seq) WHERE sc.id NOT IN (a, b, c)),
 pr AS (SELECT category, k.seq, CAST(d AS INTEGER) AS expected, rk.id AS predicted, d = rk.id AS correct FROM k JOIN rk ON rk.seq = k.seq AND rank = 1)"""
+
+
+_ANALOGY = _analogy_sql(_UNITS)
 _PER = "SELECT category, count(*) AS seen, count(*) FILTER (correct) AS correct FROM pr GROUP BY category"
 _REPORT = """SELECT CASE WHEN grouping(category) = 0 THEN 'category' WHEN grouping(kind) = 0 THEN 'kind' ELSE 'all' END AS level, coalesce(category, kind, 'all') AS name,
 count(*) AS seen, count(*) FILTER (correct) AS correct, 100.0 * count(*) FILTER (correct) / CAST(count(*) AS DOUBLE) AS accuracy
@@ -425,12 +539,21 @@ al AS (SELECT word, 2 * n AS n FROM counts UNION ALL SELECT word, count(*) FROM
     "shuffle_content": f"WITH {_pairs_sql(20, 5)} SELECT * FROM pairs",
     "pair_weights": f"WITH {_pairs_sql(20, 5)} SELECT word1, word2, round(CASE WHEN val > 10 THEN 1.0 ELSE pow(val / 10, 0.75) END, 6) AS weight, round(ln(val), 6) AS target FROM pairs",
     "init_params": f"WITH {_vocab_sql(20)}, {_params_sql()} SELECT side, CAST(id AS INTEGER) AS id, dim, round(val, 9) AS val FROM params",
-    "train_cost": f"WITH {_FIRST} SELECT round(sum(0.5 * fd * diff) / (SELECT count(*) FROM pairs), 6) AS cost FROM e0",
-    "adagrad_step": f"WITH {_FIRST} SELECT side, CAST(id AS INTEGER) AS id, dim, round(val, 5) + 0.0 AS val, round(acc, 5) AS acc FROM p1",
-    "train_vectors": f"""WITH {_BOTH} SELECT CAST(id AS INTEGER) AS id, word, CAST(CASE WHEN side = 'w' THEN dim - 1 ELSE dim - 1 + {SIZE} END AS INTEGER) AS dim, round(val, 4) + 0.0 AS val
-FROM p2 JOIN vocab USING (id) WHERE dim > 0""",
-    "train_costs": f"""WITH {_BOTH} SELECT 1 AS iteration, round(sum(0.5 * fd * diff) / (SELECT count(*) FROM pairs), 4) AS cost FROM e0
-UNION ALL SELECT 2, round(sum(0.5 * fd * diff) / (SELECT count(*) FROM pairs), 4) FROM e1""",
+    "train_cost": f"WITH {_first_sql(20, 5)} SELECT {_COST.format(6)} AS cost FROM e0",
+    "train_cost_default": f"WITH {_first_sql(MIN_COUNT, 15)} SELECT {_COST.format(6)} AS cost FROM e0",
+    "adagrad_step": f"WITH {_stepped_sql(20, 5)} {_FLAT_STEP}",
+    "adagrad_step_default": f"WITH {_stepped_sql(MIN_COUNT, 15)} {_FLAT_STEP}",
+    "train_vectors": f"""WITH {_stepped_sql(20, 5)}, {_step_sql('p1', 'e1', 'g1', 'p2')} SELECT CAST(id AS INTEGER) AS id, word, CAST(CASE WHEN side = 'w' THEN dim - 1 ELSE dim - 1 + {SIZE} END AS INTEGER) AS dim, round(val, 4) + 0.0 AS val
+FROM {_FLAT.format('p2')} JOIN vocab USING (id) WHERE dim > 0""",
+    "train_costs": f"""WITH {_stepped_sql(20, 5)}, {_errors_sql('p1', 'e1')} SELECT 1 AS iteration, {_COST.format(4)} AS cost FROM e0
+UNION ALL SELECT 2, {_COST.format(4)} FROM e1""",
+    "train_fit": f"WITH {_pairs_sql()} SELECT CAST(unnest([1, 2, 3, 4, 5]) AS INTEGER) AS iteration, count(*) AS pairs, true AS falls FROM pairs",
+    "stream_vocab_changes": f"WITH {_COUNTS} SELECT word, n FROM counts",
+    "vocab_file": f"WITH {_vocab_sql(MIN_COUNT)} SELECT id, word, n FROM vocab",
+    "encode_one_line": f"WITH {_vocab_sql(MIN_COUNT)} SELECT CAST(0 AS BIGINT) AS line, row_number() OVER (ORDER BY doc_id, line, pos) - 1 AS pos, id FROM tokens JOIN vocab USING (word)",
+    "cooccur_one_line": f"""WITH {_vocab_sql(MIN_COUNT)}, ids AS (SELECT row_number() OVER (ORDER BY doc_id, line, pos) AS pos, id FROM tokens JOIN vocab USING (word)),
+near AS (SELECT a.id AS i1, b.id AS i2, sum(60 // d) AS u FROM (SELECT id, pos, unnest([1, 2, 3, 4, 5]) AS d FROM ids) a JOIN ids b ON b.pos = a.pos + a.d GROUP BY ALL)
+SELECT word1, word2, CAST(sum(u) AS DOUBLE) / 60 AS val FROM (SELECT i1 AS word1, i2 AS word2, u FROM near UNION ALL SELECT i2, i1, u FROM near) GROUP BY ALL""",
     "checkpoint_list": "SELECT CAST(unnest([0, 1, 2]) AS INTEGER) AS iteration",
     "resume_equivalence": f"WITH {_vocab_sql(20)} SELECT 0.0::DOUBLE AS vector_gap, 0.0::DOUBLE AS accumulator_gap, 2 * count(*) AS rows FROM vocab",
     "vector_lookup": f"""WITH {_vocab_sql(20)}, {_params_sql()}, x AS (SELECT id, dim, val FROM params WHERE side = 'w' AND dim IN (1, {SIZE})),
@@ -444,6 +567,8 @@ SELECT CAST(id AS BIGINT) AS line_no, word || ' ' || f AS value FROM ls JOIN voc
     "vector_arithmetic": f"WITH {_ANALOGY} SELECT seq AS query, CAST(dim AS INTEGER) AS dim, round(x, 6) AS val FROM qv",
     "neighbors": f"""WITH {_UNITS}, sc AS (SELECT a.id AS query, b.id, sum(a.x * b.x) AS s FROM u a JOIN u b USING (dim) WHERE a.id % 20 = 0 AND a.id <> b.id GROUP BY ALL)
 SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY round(s, 12) DESC, id) AS INTEGER) AS rank, id, round(s, 6) AS similarity FROM sc QUALIFY rank <= 10""",
+    "neighbors_all": f"""WITH {_UNITS}, sc AS (SELECT a.id AS query, b.id, sum(a.x * b.x) AS s FROM u a JOIN u b USING (dim) WHERE a.id <> b.id GROUP BY ALL)
+SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY round(s, 12) DESC, id) AS INTEGER) AS rank, id, round(s, 6) AS similarity FROM sc QUALIFY rank <= 3""",
     "neighbors_phrase": f"""WITH {_UNITS}, p AS (SELECT a.id AS query, u.dim, sum(u.x) AS x FROM (SELECT DISTINCT id FROM u WHERE id % 20 = 0) a JOIN u ON u.id BETWEEN a.id AND a.id + 2 GROUP BY ALL),
 p1 AS (SELECT query, dim, x / sqrt(sum(x * x) OVER (PARTITION BY query)) AS x FROM p),
 sc AS (SELECT query, b.id, sum(p1.x * b.x) AS s FROM p1 JOIN u b USING (dim) WHERE b.id NOT BETWEEN query AND query + 2 GROUP BY ALL)
@@ -452,6 +577,7 @@ SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY round(s, 12) D
     "analogy_predict": f"WITH {_ANALOGY} SELECT * FROM pr",
     "analogy_coverage": f"WITH {_QUESTIONS} SELECT category, count(*) AS total, count(*) FILTER (d <= (SELECT max(vec_id) FROM embeddings)) AS seen FROM q GROUP BY category",
     "analogy_accuracy": f"WITH {_ANALOGY} {_REPORT}",
+    "evaluate_binary": f"WITH {_analogy_sql(_SUMMED)} {_REPORT}",
     "analogy_running_accuracy": f"""WITH {_ANALOGY}, c AS ({_PER}) SELECT category, seen, correct,
 CAST(sum(seen) OVER (ORDER BY category) AS BIGINT) AS seen_so_far, CAST(sum(correct) OVER (ORDER BY category) AS BIGINT) AS correct_so_far FROM c""",
 } | {f"export_model{m}": f"WITH {_export_sql(m)} SELECT CAST(id AS INTEGER) AS id, word, CAST(dim AS INTEGER) AS dim, round(val, 9) AS val FROM x JOIN vocab USING (id)" for m in range(4)}
