@@ -195,3 +195,18 @@ def test_whitening_leaves_out_flat_directions(spark):
     rows = [(k, [float(k), 2.0 * k, 5.0]) for k in range(20)]
     got = whitening.whitened(vectors(spark, rows)).collect()
     assert {r.component for r in got} == {1} and abs(got[0].explained - 1) < 1e-12
+
+
+def test_plain_words_are_encoded_as_the_library_does(library):
+    import random
+
+    from wordloom.llm.token_files import Encoder, plain_encoder
+
+    rng = random.Random(1)
+    letters = [chr(c) for c in range(33, 127)] + list("éßñÀɏΑωЯяぁんァ一龥\n\n   '''×÷\x1ć") + ["'s", "'ll", "\n\n"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(6000)]
+    encoder = Encoder(tokenizer_definition())
+    assert encoder.plain is not None
+    assert encoder.encode_batch(texts) == [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    spec = {"model": {"vocab": {"b": 0, "a": 1, "ab": 2}, "merges": ["a b"]}, "pre_tokenizer": {"use_regex": True}}
+    assert plain_encoder(spec, {"a": 97, "b": 98}) is None
