@@ -31,8 +31,9 @@ def brute_components(edges):
     return {x: find(x) for x in list(up)}
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_components(spark, seed):
+@pytest.mark.parametrize(("seed", "sent"), [(0, 200_000), (1, 0), (2, 50)])
+def test_components(spark, monkeypatch, seed, sent):
+    monkeypatch.setattr("wordloom.llm.components.SENT_LINKS", sent)
     rng = random.Random(seed)
     edges = [(rng.randint(0, 150), rng.randint(0, 150)) for _ in range(60)] + [(k, k + 1) for k in range(200, 240)] + [(300, k) for k in range(301, 340)] + [(400, 400)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

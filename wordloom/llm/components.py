@@ -9,14 +9,18 @@ from wordloom.llm.shared import written
 
 SALTS = 256
 PART_LINKS, LEAST_PARTS = 200_000, 8  # links of a partition: a small table isn't cut into hundreds of tasks
+#: Up to so many links, counted in each round, the smallest neighbours (two numbers a node, two nodes a link) are broadcast.
+SENT_LINKS = 200_000
 
 
 def _both(links: DataFrame) -> DataFrame:
     return links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _with_least(near: DataFrame, parts: int) -> DataFrame:
-    """a, b, m: m the smallest b of each a. It goes back by (a, salt), so a hub's links are neither one group nor one join key."""
+def _with_least(near: DataFrame, parts: int, few: bool) -> DataFrame:
+    """a, b, m: m the smallest b of each a. It goes back by (a, salt), so a hub's links are neither one group nor one join key; where links are few, it is sent to all tasks."""
+    if few:
+        return near.join(F.broadcast(near.groupBy("a").agg(F.min("b").alias("m"))), "a")
     salted = near.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt")).repartition(parts, "a", "salt")
     # At most SALTS rows of an a meet in the window.
     part = salted.groupBy("a", "salt").agg(F.min("b").alias("m")).repartition(parts, "a")
@@ -24,17 +28,18 @@ def _with_least(near: DataFrame, parts: int) -> DataFrame:
     return salted.join(least.repartition(parts, "a", "salt"), ["a", "salt"]).select("a", "b", "m")
 
 
-def _large_star(links: DataFrame, parts: int) -> DataFrame:
+def _large_star(links: DataFrame, parts: int, few: bool) -> DataFrame:
     """Each node links its larger neighbours to the smallest of itself and all its neighbours."""
-    near = _with_least(_both(links), parts).where(F.col("b") > F.col("a"))
+    near = _with_least(_both(links), parts, few).where(F.col("b") > F.col("a"))
     return near.select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b")
 
 
-def _small_star(links: DataFrame, parts: int) -> DataFrame:
+def _small_star(links: DataFrame, parts: int, few: bool) -> DataFrame:
     """Each node links its smaller neighbours, and itself, to the smallest of them."""
-    down = _with_least(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"), parts)
+    down = _with_least(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"), parts, few)
     ends = F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")
-    return down.select(ends).select("e.a", "e.b").where("a <> b").repartition(parts, "a", "b").distinct()
+    pairs = down.select(ends).select("e.a", "e.b").where("a <> b")
+    return (pairs if few else pairs.repartition(parts, "a", "b")).distinct()
 
 
 def _mark(links: DataFrame) -> tuple:
@@ -53,7 +58,8 @@ def components(links: DataFrame) -> DataFrame:
     seen = _mark(now)
     while seen[0]:
         parts = max(LEAST_PARTS, -(-seen[0] // PART_LINKS))
-        now = written(_small_star(_large_star(now, parts), parts), "links")
+        few = seen[0] <= SENT_LINKS
+        now = written(_small_star(_large_star(now, parts, few), parts, few), "links")
         if (mark := _mark(now)) == seen:
             break
         seen = mark

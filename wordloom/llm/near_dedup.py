@@ -119,6 +119,11 @@ def _salt(col: str, parts=SALTS) -> Column:
     return F.pmod(F.xxhash64(col), F.lit(parts) if isinstance(parts, int) else parts).cast("int")
 
 
+def _by_salt(salted: DataFrame, of_key: DataFrame) -> DataFrame:
+    """of_key (key and others) for each salt that a key has: the way back to the rows salted (key, salt), however many a key has."""
+    return salted.groupBy("key", "salt").agg(F.lit(1).alias("one")).drop("one").join(of_key, "key")
+
+
 def _dealt(pairs: DataFrame) -> DataFrame:
     """a, block, b: the b of one a in blocks of about BLOCK. Counts go back by (a, salt), so no join has a hot key."""
     salted = pairs.select("a", "b", _salt("b").alias("salt"))
@@ -240,7 +245,8 @@ def _met(placed: DataFrame) -> DataFrame:
     whole = per.groupBy("key").agg(F.min("c").alias("main"), F.max("c").alias("hi"), F.min_by(F.struct("w", "m"), "c").alias("own"), F.sum("w").alias("w"), F.sum("m").alias("m")).where("main < hi")
     chunks = lambda w, m: F.greatest(F.ceil(w / CHUNK_SHINGLES), F.ceil(m / CHUNK_CLASSES)).cast("int")
     info = whole.select("key", "main", chunks(F.col("own.w"), F.col("own.m")).alias("of_main"), chunks(F.col("w") - F.col("own.w"), F.col("m") - F.col("own.m")).alias("of_rest"))
-    dealt = placed.join(info, "key").withColumn("chunk", F.when(F.col("c") == F.col("main"), F.col("of_rest") + _salt("id", F.col("of_main"))).otherwise(_salt("id", F.col("of_rest"))))
+    salted = placed.withColumn("salt", _salt("id"))
+    dealt = salted.join(_by_salt(salted, info), ["key", "salt"]).withColumn("chunk", F.when(F.col("c") == F.col("main"), F.col("of_rest") + _salt("id", F.col("of_main"))).otherwise(_salt("id", F.col("of_rest"))))
     last = F.when(F.col("c") == F.col("main"), F.col("of_rest")).otherwise(F.col("of_rest") + F.col("of_main")) - 1
     others = F.array_remove(F.sequence(F.lit(0), last), F.col("chunk"))
     return dealt.select("key", "id", "c", "chunk", F.explode(others).alias("other")).select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "id", "c")
