@@ -37,6 +37,7 @@ BLOCK = 1 << 14
 FILE_IDS = 1 << 24
 CACHED = 500_000
 GROUP = 200
+PART = 20_000  # chunks that are encoded as one text
 
 
 def bits_for(vocabulary: int) -> int:
@@ -99,8 +100,8 @@ class TokenFile:
 
 
 #: Characters that every version of Unicode and both libraries class alike: ASCII but for white space and control characters other than
-#: line breaks, and letters of common scripts.
-PLAIN = re.compile("[\n!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03a3-\u03c9\u0410-\u044f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5]+")
+#: line breaks, and letters of common scripts; and the spaces between chunks.
+PLAIN = re.compile("[\n -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03a3-\u03c9\u0410-\u044f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5]+")
 #: The byte-level pre-tokeniser's pattern.
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -152,13 +153,16 @@ class Encoder:
 
     def _joined(self, chunks: list[str]) -> Iterator[tuple[list[str], np.ndarray]]:
         """Chunks in parts, and the ids of each part as one text, a space before each chunk."""
-        plain = [c for c in chunks if PLAIN.fullmatch(c)] if self.plain else []
-        for k in range(0, len(plain), 20_000):
-            part = plain[k : k + 20_000]
-            yield part, np.array(self.plain(" " + " ".join(part)), "<u4")
-        rest = [c for c in chunks if not PLAIN.fullmatch(c)] if self.plain else chunks
-        for k in range(0, len(rest), 20_000):
-            part = rest[k : k + 20_000]
+        for k in range(0, len(chunks), PART):
+            part = chunks[k : k + PART]
+            text = " " + " ".join(part)
+            if self.plain and PLAIN.fullmatch(text):
+                yield part, np.array(self.plain(text), "<u4")
+                continue
+            plain = [c for c in part if PLAIN.fullmatch(c)] if self.plain else []
+            if plain:
+                yield plain, np.array(self.plain(" " + " ".join(plain)), "<u4")
+                part = [c for c in part if not PLAIN.fullmatch(c)]
             yield part, np.array(self.library.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
 
     def _spaced(self, chunks: list[str]) -> list[bytes]:
