@@ -78,27 +78,91 @@ def test_near_duplicates(spark, k, num):
 
 
 def test_seating():
+    """Against seating one by one, in a restaurant whose parent takes the new tables as customers, and in the parent."""
     rng = np.random.default_rng(1)
-    c, a, d = np.full(4000, 60), np.full(4000, 2.0), 0.5
-    got = lm_score.seat(c, a, d, rng)
-    slow = []
-    for _ in range(4000):
-        t = 1
-        for n in range(1, 60):
-            t += rng.random() < 2.0 / (n - d * t + 2.0)
-        slow.append(t)
-    assert abs(got.mean() - np.mean(slow)) < 0.15 and abs(got.std() - np.std(slow)) < 0.15
-    assert lm_score.seat(np.array([1, 10**9]), np.array([1.0, 1e-6]), d, rng)[0] == 1
-    jumped = [lm_score._jumps(lm_score.STEPWISE + 600, 20.0, d, 30.0, rng) for _ in range(1500)]
+    n, d, strength = 4000, 0.5, 1.5
+    for own in (0.0, 1.0):
+        full = lambda x: np.full(n, x)  # noqa: B023, E731
+        others = lm_score.Others(full(4.0), full(3.0), full(9.0), strength, d, own)
+        got = lm_score.seat(np.full(n, 60), others, rng)
+        slow = []
+        for _ in range(n):
+            t = 1
+            for k in range(1, 60):
+                weight = (strength + d * (4 + t)) * (3 + own * t) / (9 + own * t)
+                t += rng.random() < weight / (k - d * t + weight)
+            slow.append(t)
+        assert abs(got.mean() - np.mean(slow)) < 0.25 and abs(got.std() - np.std(slow)) < 0.2
+    few = lm_score.Others(np.zeros(2), np.array([1.0, 1e-7]), np.ones(2), 1.0, d, 0.0)
+    assert lm_score.seat(np.array([1, 10**9]), few, rng)[0] == 1
+    weight = lambda t: 10.0 + 0.3 * t
+    jumped = [lm_score._jumps(lm_score.STEPWISE + 600, weight, d, 30.0, rng) for _ in range(1500)]
     stepped = []
     for _ in range(1500):
         t = 30.0
-        for n in range(lm_score.STEPWISE, lm_score.STEPWISE + 600):
-            t += rng.random() < 20.0 / (n - d * t + 20.0)
+        for k in range(lm_score.STEPWISE, lm_score.STEPWISE + 600):
+            t += rng.random() < weight(t) / (k - d * t + weight(t))
         stepped.append(t)
     assert abs(np.mean(jumped) - np.mean(stepped)) < 0.3 and abs(np.std(jumped) - np.std(stepped)) < 0.3
 
 
+def test_a_sweep_leaves_own_tables_out():
+    """Of a token that one context alone has, the parent knows nothing while it is seated but what it seats now."""
+    cells, counts = np.array([(1 << 20) | 3, (1 << 21) | 3], np.uint64), np.array([2, 2])
+    b = lm_score.Bucket(cells, counts, 0)
+    tables = np.zeros(lm_score.CLASSES)
+    tables[3] = 2
+    totals = lm_score.Totals(np.zeros(lm_score.CLASSES), tables, 2.0, 2.0, 2)
+    seen, plain = [], lm_score.seat
+    lm_score.seat = lambda c, others, rng: (seen.append(others), plain(c, others, rng))[1]
+    try:
+        b.sweep(totals, 0)
+    finally:
+        lm_score.seat = plain
+    assert seen[0].tables.tolist() == [1, 1] and seen[0].room.tolist() == [lm_score.ROOT_STRENGTH + 1] * 2
+    assert seen[0].dish.tolist() == [totals.root_new()] * 2 and seen[1].tables.tolist() == [1, 1]
+
+
+def test_scores_against_probabilities_cell_by_cell():
+    """Model.answer against the predictive rule written out token by token from the same seating."""
+    texts = [t.encode() for _, t in lm_rows()]
+    keys = [lm_score.token_keys(t) for t in texts]
+    cells, counts = np.unique(np.concatenate([lm_score.cells_of(k) for k in keys]), return_counts=True)
+    history = []
+    for _ in range(lm_score.SWEEPS + 1):
+        b = lm_score.Bucket(cells, counts, 0)
+        for b in lm_score.seated(cells, counts, 0, history):  # noqa: B020
+            pass
+        at, x, y = b.sums()
+        sums = np.zeros((lm_score.CLASSES + 2, 2))
+        sums[at] = np.column_stack([x, y])
+        history.append(lm_score.totals_of(sums))
+    states = []
+    for k, b in enumerate(lm_score.seated(cells, counts, 0, history[:-1])):
+        if k >= lm_score.SWEEPS - lm_score.SAMPLES:
+            states.append(({int(c): (n, t) for c, n, t in zip(b.cells, b.c, b.t, strict=True)}, {int(h): t for h, t in zip(b.hashes, b.root_t, strict=True)}))
+    low = lm_score.CLASSES - 1
+
+    def probability(cell):
+        total = 0.0
+        for seats, root in states:
+            word, context = cell & ~low, cell & low
+            at_parent = sum(t for c, (_, t) in seats.items() if c & ~low == word)
+            parent_customers, parent_tables = sum(t for _, t in seats.values()), sum(root.values())
+            base = 1 / (len(root) + 1)
+            parent = (at_parent - lm_score.ROOT_DISCOUNT * root.get(word, 0) + (lm_score.ROOT_STRENGTH + lm_score.ROOT_DISCOUNT * parent_tables) * base) / (lm_score.ROOT_STRENGTH + parent_customers)
+            here = [(n, t) for c, (n, t) in seats.items() if c & low == context]
+            n, t = seats.get(cell, (0, 0))
+            customers, tables = sum(n for n, _ in here), sum(t for _, t in here)
+            total += (n - lm_score.DISCOUNT * t + (lm_score.STRENGTH + lm_score.DISCOUNT * tables) * parent) / (lm_score.STRENGTH + customers)
+        return math.log10(total / len(states))
+
+    model = lm_score.Model(cells, counts, 0, history)
+    wanted = np.unique(np.append(cells[::37], [int(cells[5]) & ~low | 77, (1 << 40) | 9, (1 << 40) | int(cells[0]) & low]).astype(np.uint64))
+    logs, _ = model.answer(wanted)
+    assert logs == pytest.approx([probability(int(c)) for c in wanted], abs=1e-9)
+
+
 def lm_rows():
     rng = random.Random(4)
     vocabulary = ["".join(rng.choice("abcdef") for _ in range(rng.randint(1, 7))) for _ in range(200)]
