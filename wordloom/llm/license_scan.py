@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterable
 from math import ceil
 
 from pyspark.sql import DataFrame
@@ -28,8 +29,8 @@ from wordloom.llm.batches import by_text
 
 # Phrases whose places count, and their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-# One-line license notices in common use, by label. At most some dozens, so they go along with the task.
-TEMPLATES = (
+# One-line license notices in common use, by label.
+NOTICES = (
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("apache-2", "licensed under the apache license version 2 0"),
@@ -43,6 +44,58 @@ TEMPLATES = (
     ("cc-by-sa", "licensed under the creative commons attribution sharealike license"),
     ("cc0", "this work is dedicated to the public domain under cc0"),
 )
+# The texts of licenses, and the notices that stand in files instead of a long license's text. Names of holders are left out.
+BODIES = (
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+    (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,
+    publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so,
+    subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or
+    substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT
+    NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+    COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+    OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions
+    are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+    2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+    documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its
+    contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE
+    IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+    IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR
+    CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,
+    PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+    LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+    SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the
+    above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL
+    WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE
+    LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS,
+    WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
+    SOFTWARE."""),
+    ("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages
+    arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial
+    applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be
+    misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the
+    product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be
+    misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."""),
+    ("unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell,
+    or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any
+    means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the
+    software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and
+    successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software
+    under copyright law."""),
+    ("apache-2", """you may not use this file except in compliance with the License. You may obtain a copy of the License at. Unless required by
+    applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR
+    CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the
+    License."""),
+    ("gpl-3", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope
+    that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See
+    the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program."""),
+    ("gpl-2", """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
+    the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope
+    that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See
+    the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program."""),
+)
 # Labels whose templates differ in so few words that one's notice matches the others'.
 FAMILIES = (frozenset({"gpl-2", "gpl-3", "lgpl-3"}),)
 THRESHOLD = 0.8
@@ -55,6 +108,25 @@ def words_of(data: bytes) -> list[bytes]:
     return data.translate(_FOLD).split()
 
 
+def as_templates(rows: Iterable[tuple[str, str]]) -> tuple[tuple[str, str], ...]:
+    """(label, text) with the text as its words; texts without words are left out."""
+    found = ((label, b" ".join(words_of(text.encode())).decode()) for label, text in rows)
+    return tuple(t for t in found if t[1])
+
+
+#: Goes along with the task: at most MOST_TEMPLATES of them.
+TEMPLATES = as_templates(NOTICES + BODIES)
+MOST_TEMPLATES = 1000
+
+
+def templates_of(table: DataFrame, label_col: str = "label", text_col: str = "text") -> tuple[tuple[str, str], ...]:
+    """Templates from a table of whole license texts, for scan_licenses; ValueError for more than MOST_TEMPLATES. Null labels and texts are left out."""
+    rows = table.select(label_col, text_col).where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).distinct().limit(MOST_TEMPLATES + 1).collect()
+    if len(rows) > MOST_TEMPLATES:
+        raise ValueError(f"more than {MOST_TEMPLATES} license templates")
+    return as_templates(sorted(map(tuple, rows)))
+
+
 def word_counts(docs: DataFrame, vocabulary: frozenset[bytes], text_col: str = "text") -> dict[bytes, int]:
     """How often each word of a bounded vocabulary stands in all documents; sent to the driver."""
 

@@ -313,12 +313,13 @@ def fit(windows: list[tuple[list[str], list[int]]], epochs: int = 40, rate: floa
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """Fitted on windows of the SAMPLE_DOCS documents whose ids have the smallest crc32, and on generated lines."""
+    """Fitted on windows of one text of each of the SAMPLE_DOCS ids with the smallest crc32, at most SAMPLE_WINDOWS a text, and on generated lines."""
     key = F.crc32(F.col(id_col).cast("string"))
     ids = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), key.alias("k")).orderBy("k", "id").limit(SAMPLE_DOCS)
     # The ids first, without texts: SAMPLE_DOCS of them are sent to the scan that takes the texts.
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    few = texts.join(F.broadcast(ids.select("id").distinct()), "id", "left_semi")
+    # One text of an id, whatever the number of its rows: that of the smallest hash.
+    few = texts.join(F.broadcast(ids.select("id").distinct()), "id", "left_semi").groupBy("id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def work(ids, texts):
         return ((i, n, tokens, tags) for i, x in zip(ids, texts, strict=True) for n, (tokens, tags) in enumerate(sample_windows(i, x)))
