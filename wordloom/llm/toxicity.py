@@ -336,7 +336,9 @@ def score_texts(docs: DataFrame, net: Network | None, id_col: str = "doc_id", te
 def drop_toxic(docs: DataFrame, net: Network | None, text_col: str = "text") -> DataFrame:
     """The rows of docs whose text scores below THRESHOLD, whole and with their columns.
 
-    The score is computed beside the row, so null or repeated ids and columns of any name are as they were.
+    The score is computed beside the row, so null or repeated ids and columns of any name are as they were. A score at
+    the threshold goes; null and empty texts score as a text without words; repeated rows stay or go together. Without
+    a network all rows stay. Empty table: no rows.
     """
     if net is None:
         return docs
