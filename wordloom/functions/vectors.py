@@ -27,8 +27,8 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    """a over its norm; null for a zero vector."""
-    return F.when(norm(a) > 0, F.transform(a, lambda x: F.try_divide(x, norm(a))))
+    """a over its norm; null for a zero vector. The norm is repeated, not part of the lambda, which would compute it for each entry."""
+    return F.when(norm(a) > 0, F.zip_with(a, F.array_repeat(norm(a), F.size(a)), lambda x, n: F.try_divide(x, n)))
 
 
 def doubles(a: Column) -> Column:
