@@ -150,7 +150,7 @@ def test_block_sums_add_up_whatever_the_blocks(spark, monkeypatch):
     params = training.initial(ids, options)
     one = {(r.side, r.id): r for r in training.fullbatch_step(bad, params, options).collect()}
     monkeypatch.setattr(cells, "SUM_RECORDS", 500)
-    monkeypatch.setattr(cells, "READ", 100)
+    monkeypatch.setattr(cells, "SUMMED", 100)
     many = {(r.side, r.id): r for r in training.fullbatch_step(bad, params, options).collect()}
     # By hand.
     w, c = ({r.id: (np.array(r.v), r.b) for r in params.where(F.col("side") == s).collect()} for s in "wc")
