@@ -23,6 +23,7 @@ from wordloom.sources.onefile import write_one
 
 RECORD = struct.Struct("=iid")
 SPLIT = 1 << 26
+HALF_BYTES = 8 << 20  # of each half of a file that a task adds up at once
 
 
 def _files(path: str) -> list[tuple[str, int]]:
@@ -248,7 +249,7 @@ class _SummedReader(DataSourceReader):
         self.row = size // (2 * words)
 
     def partitions(self) -> list[_Halves]:
-        step = max(1, SPLIT // self.row)
+        step = max(1, HALF_BYTES // self.row)
         return [_Halves(k, min(k + step, self.words)) for k in range(0, self.words, step)]
 
     def read(self, partition: _Halves) -> Iterator[pa.RecordBatch]:
