@@ -81,6 +81,49 @@ def test_one_long_line(spark, one_line):
     assert rows(found) == rows(plain)
 
 
+def test_ranges_grow_with_the_corpus(spark, one_line):
+    path, words = one_line
+    pieces = ranges.read_pieces(spark, str(path), range_bytes=10)
+    assert pieces.rdd.getNumPartitions() <= ranges.CORE_RANGES * spark.sparkContext.defaultParallelism + 1
+    assert {r.word: r.n for r in vocab.word_counts(pieces).collect()} == Counter(words)
+    assert ranges.grown(1 << 20, 8 << 20, 12) == 1 << 20
+    assert ranges.grown(1 << 20, 10 << 30, 12) == ranges.RANGE_BYTES
+    assert ranges.grown(64 << 20, 10 << 30, 12) == 64 << 20
+
+
+def test_pieces_are_encoded_without_a_row_for_each_token(spark, one_line, monkeypatch):
+    path, words = one_line
+    pieces = ranges.read_pieces(spark, str(path), range_bytes=5000)
+    v = vocab.ranked(vocab.word_counts(pieces))
+    tables, written = {}, cooccur.written
+    monkeypatch.setattr(cooccur, "written", lambda df, name: tables.setdefault(name, written(df, name)))
+    assert cooccur.encoded_pieces(pieces, v).count() == len(words)
+    assert sum(t.count() for t in tables.values()) < len(words) / 100
+
+
+@pytest.mark.parametrize("sent", [cooccur.SENT_BYTES, -1])
+def test_odd_words_of_pieces(spark, tmp_path, monkeypatch, sent):
+    monkeypatch.setattr(cooccur, "SENT_BYTES", sent)
+    monkeypatch.setattr(cooccur, "LOOKUP_BYTES", 2000)  # several lookups in a task
+    rng = random.Random(3)
+    long = "é" * 700  # 499 characters are kept
+    some = ["a", "b", "é", "日本", "a\rb", "\r", "\u00a0", "a\u3000b", "zz", long, "x" + long, "y" * 999, "y" * 1005]
+    for name in ("1.txt", "2.txt"):
+        lines = ["".join(rng.choice(some) + rng.choice([" ", "  ", "\t", " \t "]) for _ in range(rng.choice([0, 3, 40]))) for _ in range(30)]
+        (tmp_path / name).write_bytes("\n".join(lines).encode())
+    keep = lambda w: w.replace("\r", "").encode()[:999].decode("utf-8", "ignore")
+    known = {w: k for k, w in enumerate(dict.fromkeys(keep(w) for w in some if keep(w) and w != "zz"), 1)}
+    v = spark.createDataFrame([(k * 3, w) for w, k in known.items()] + [(1, "")], "id int, word string")
+    found = cooccur.encoded_pieces(ranges.read_pieces(spark, str(tmp_path), range_bytes=3000), v)
+    expected = []
+    for row, name in enumerate(("1.txt", "2.txt")):
+        for line, text in enumerate((tmp_path / name).read_bytes().decode().split("\n")):
+            ids = [known[keep(w)] * 3 for w in re.split("[ \t]+", text.replace("\r", "")) if keep(w) in known]
+            expected += [(row, line, pos, k) for pos, k in enumerate(ids)]
+    assert sorted(map(tuple, found.collect())) == expected
+    assert found.schema.simpleString() == "struct<row:bigint,line:bigint,pos:bigint,id:int>"
+
+
 @pytest.fixture
 def spread_out(spark):
     """Small partitions stay apart, as large ones do."""

@@ -26,6 +26,8 @@ from wordloom.sources.binary import _files
 from wordloom.sources.tables import written
 
 RANGE_BYTES = 32 << 20
+#: read_pieces makes its ranges larger, up to RANGE_BYTES, where a file has more than so many for each core.
+CORE_RANGES = 8
 PIECE_BYTES = 256 << 10
 #: numbered_lines keeps one number a range on the driver: ranges grow with the file so that there are at most so many.
 MOST_RANGES = 1 << 16
@@ -237,12 +239,19 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
+def grown(least: int, whole: int, cores: int) -> int:
+    """The bytes of a range of a corpus: at least so many, RANGE_BYTES at most where least is below, CORE_RANGES ranges a core in between."""
+    return max(least, min(RANGE_BYTES, whole // (CORE_RANGES * cores)))
+
+
 def read_pieces(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """row (the file), line (in the file, from 0), block (the piece's place in the file), text: a corpus of lines of any length.
 
-    Two passes over the file: line breaks are counted by ranges first. text has whole tokens only.
+    Two passes over the file: line breaks are counted by ranges first. text has whole tokens only. range_bytes is the
+    least size of a range: a task costs more to begin than to read a megabyte, so ranges grow with the corpus.
     """
     register(spark)
+    range_bytes = grown(range_bytes, sum(size for _, size in _files(path)), spark.sparkContext.defaultParallelism)
     source = lambda **o: spark.read.format("corpus_ranges").options(range_bytes=range_bytes, **o).load(path)
     counts = written(source(count=True), "line-breaks")
     base = F.sum("breaks").over(Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
