@@ -1,5 +1,6 @@
 """Pairs of a corpus that are added up where they are used, against the table of encoded tokens, and what is shuffled for them."""
 
+from dataclasses import replace
 from random import Random
 
 import numpy as np
@@ -123,3 +124,36 @@ def test_a_step_shuffles_neither_records_nor_gradients_as_rows(spark):
     assert shuffled_rows(spark, step.collect) < 300 < pairs.table().count()
     plan = step._jdf.queryExecution().toString()
     assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_cells_of_a_corpus_hold_each_pair_once_in_several_files(spark, monkeypatch, tmp_path):
+    small(monkeypatch)
+    monkeypatch.setattr(pair_runs, "BUCKET_PAIRS", 600)
+    docs = corpus(spark)
+    v = known(docs)
+    pairs = cooccur.corpus_pairs(docs, v, CooccurOptions(5))
+    expected = sorted(map(tuple, pairs.table().collect()))
+    assert cells.laid_cells(pairs, 3, 0, f"file://{tmp_path}/laid") == len(expected)
+    found = spark.read.parquet(f"{tmp_path}/laid")
+    assert sorted((r.word1, r.word2, r.val) for r in found.collect()) == expected
+    assert found.where("pmod(word1, 3) != p or pmod(word2 - word1, 3) != s").count() == 0
+    assert all(len(list(cell.glob("0*.parquet"))) > 1 for cell in tmp_path.glob("laid/s=*/p=*"))
+
+
+def test_stratified_training_of_a_corpus_and_its_scratch(spark, monkeypatch, tmp_path):
+    small(monkeypatch)
+    options = replace(TRAIN, batch=4)
+    monkeypatch.setattr(training, "CELL_RECORDS", 10)
+    docs = corpus(spark)
+    v = known(docs)
+    pairs, parts, tables = cooccur.corpus_pairs(docs, v, CooccurOptions(5)), [], []
+    whole, path = training.sub_epoch, training.Checkpoints.scratch_path
+    monkeypatch.setattr(training, "sub_epoch", lambda *a: (parts.append(a[4]), whole(*a))[1])
+    monkeypatch.setattr(training.Checkpoints, "scratch_path", lambda self, *a: (tables.append(len(self.waste)), path(self, *a))[1])
+    one = training.train(pairs, v.select("id"), options, f"{tmp_path}/a")
+    assert set(parts) == {8}  # as many as cores, or 8: an epoch writes all parameters once a part
+    assert max(tables) == 1  # tables of earlier sub-epochs are gone
+    costs = [r.cost for r in training.costs(spark, f"{tmp_path}/a").collect()]
+    assert training.cost(pairs, training.initial(v.select("id"), options), options).first().cost > costs[0] > costs[1] > 0
+    training.train(pairs, v.select("id"), replace(options, iterations=1), f"{tmp_path}/b")
+    assert values(training.train(pairs, v.select("id"), options, f"{tmp_path}/b", resume=True)) == values(one)
